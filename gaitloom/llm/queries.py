@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.runtime import table
-from . import bpe, packing, targets, varied
+from . import bpe, copies, near, packing, targets, varied
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.copies(table(spark, d, "motion_index"))
+
+
+def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapsed(table(spark, d, "motion_index"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,6 +34,10 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return targets.sample_report(available, table(spark, d, "sample_target"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_duplicates(table(spark, d, "motion_index"))
+
+
 def p6_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied.varied_subset(table(spark, d, "motion_index"), table(spark, d, "motion_entry"), table(spark, d, "subset_request"))
 
@@ -50,7 +62,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_sample, p2_report, p6_subset, p7_ids, p8_containers, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p6_subset, p7_ids, p8_containers, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
