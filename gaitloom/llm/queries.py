@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.runtime import table
-from . import bpe, copies, near, packing, targets, varied
+from . import ann, bpe, copies, near, packing, targets, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +39,14 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_duplicates(table(spark, d, "motion_index"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return ann.mutual_pairs(table(spark, d, "semantic_index"))
+
+
+def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest_of_queries(table(spark, d, "semantic_index"), F.col("vec_id") % 100 == 0)
+
+
 def p6_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied.varied_subset(table(spark, d, "motion_index"), table(spark, d, "motion_entry"), table(spark, d, "subset_request"))
 
@@ -62,7 +71,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p6_subset, p7_ids, p8_containers, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p4_found, p4_nearest, p6_subset, p7_ids, p8_containers, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
