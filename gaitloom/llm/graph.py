@@ -13,7 +13,7 @@ import numpy as np
 class Graph:
     """Rows of ``x`` must have unit length. ``degree`` bounds out-edges after pruning, ``slack`` the edges before."""
 
-    def __init__(self, x: np.ndarray, *, degree: int = 20, slack: int = 16, beam: int = 32, relax: float = 1.1, batch: int = 256, mates: int = 8, keep: int = 8, expand: int = 4):
+    def __init__(self, x: np.ndarray, *, degree: int = 24, slack: int = 12, beam: int = 24, relax: float = 1.1, batch: int = 256, mates: int = 8, keep: int = 8, expand: int = 4):
         self.n, self.degree, self.width, self.beam = len(x), degree, degree + slack, beam
         self.relax2, self.expand = np.float32(relax * relax), expand
         self.x = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]).astype(np.float32)
@@ -61,7 +61,6 @@ class Graph:
             own = live[:, None]
             fresh = ~seen[own, around]
             seen[own, around] = True
-            # a neighbour may stand twice in one step: only its first place counts
             most = int(fresh.sum(1).max())
             if most == 0:
                 open_[live] = o
@@ -72,21 +71,22 @@ class Graph:
             points = self.x[around]
             value = np.matmul(points, q[live][:, :, None])[:, :, 0]
             value[~fresh] = -2
-            order = np.argsort(around, axis=1, kind="stable")
-            in_order = around[line, order]
-            twice = np.zeros_like(fresh)
-            twice[:, 1:] = in_order[:, 1:] == in_order[:, :-1]
-            value[np.broadcast_to(line, order.shape)[twice], order[twice]] = -2
             all_i, all_s = np.concatenate([i, around], 1), np.concatenate([s, value], 1)
             all_o = np.concatenate([o, value > -2], 1)
             best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            best = best[line, np.argsort(-all_s[line, best], axis=1, kind="stable")]
+            best = best[line, np.argsort(-all_s[line, best], axis=1)]
+            i, s, o = all_i[line, best], all_s[line, best], all_o[line, best]
+            # a neighbour met twice in one step stands twice in a row, with one score: only one place counts
+            twice = i[:, 1:] == i[:, :-1]
+            s[:, 1:][twice] = -2
+            o[:, 1:][twice] = False
             if whole:
-                ids, score, open_ = all_i[line, best], all_s[line, best], all_o[line, best]
+                ids, score, open_ = i, s, o
             else:
-                ids[live], score[live], open_[live] = all_i[line, best], all_s[line, best], all_o[line, best]
+                ids[live], score[live], open_[live] = i, s, o
         ids[score <= -2] = n
-        return ids, score
+        order = np.argsort(-score, axis=1, kind="stable")
+        return ids[every, order], score[every, order]
 
     def _prune(self, p: np.ndarray, cand: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Relaxed distance pruning of candidate lists: kept ids (padded with n) and their number."""
