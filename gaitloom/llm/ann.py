@@ -29,7 +29,7 @@ from .graph import Graph
 #: Rows the centroids are fitted on, rows aimed at in a cell, most centroids, and most rows of one graph.
 FIT_ROWS, CELL_ROWS, MOST_CELLS, SHARD_ROWS = 20_000, 5_000, 2_048, 30_000
 #: A vector enters its second cell too if that centroid's cosine is less than this below the first.
-BORDER = 0.015
+BORDER = 0.02
 #: Cells a stated query searches, and the width of its beam.
 PROBES, QUERY_BEAM = 10, 96
 
