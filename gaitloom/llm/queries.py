@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import table
-from . import ann, bpe, copies, near, packing, targets, varied
+from . import ann, bpe, copies, language, near, packing, residue, targets, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,6 +47,18 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest_of_queries(table(spark, d, "semantic_index"), F.col("vec_id") % 100 == 0)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "motion_index")).select("record_id", "slot")
+
+
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "motion_index"))
+
+
+def p5_index(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "motion_index"))
+
+
 def p6_subset(spark: SparkSession, d: str) -> DataFrame:
     return varied.varied_subset(table(spark, d, "motion_index"), table(spark, d, "motion_entry"), table(spark, d, "subset_request"))
 
@@ -63,6 +75,15 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_report(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_or_mixed(table(spark, d, "documents"))
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    found = language.identify(table(spark, d, "documents"))
+    return found.where("seg_no = 0 or mixed").select("doc_id", "seg_no", "lang", F.round("confidence", 4).alias("confidence"))
+
+
 _FORCE = """
 SELECT object_id, classification.taxonomy['action_category'] AS action_category
 FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at DESC NULLS LAST, entry_no DESC) AS rn
@@ -71,7 +92,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p4_found, p4_nearest, p6_subset, p7_ids, p8_containers, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p4_found, p4_nearest, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
