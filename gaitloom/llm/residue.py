@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from .assets import dataset_key
 
 #: A weakly suspect message is residue from this many texts in this many sources on.
@@ -238,7 +239,7 @@ def suspects(motion_index: DataFrame) -> DataFrame:
 
 def residue(motion_index: DataFrame, *, recurs: int = RECURS, sources: int = SOURCES) -> DataFrame:
     """``(record_id, slot, kind)`` of the texts that are residue."""
-    found = suspects(motion_index)
+    found = materialize(suspects(motion_index), "p5-suspects")
     strong = found.where("strong").select("record_id", "slot", "kind")
     weak = found.where("not strong")
     # counts per source first: the distinct sources of a message are then few rows, however often it recurs
