@@ -26,8 +26,8 @@ _SQL = """
 WITH asset AS (SELECT object_id, min(dataset) AS dataset FROM {index} WHERE object_id IS NOT NULL GROUP BY object_id),
 binned AS (
   SELECT a.object_id, a.dataset, coalesce(e.series_key, '') AS series_key, e.action_category,
-         md5(concat_ws('|', coalesce(a.dataset, '?'), coalesce(e.series_key, ''), coalesce(e.action_category, '?'))) AS cell,
-         md5(concat('6:', a.object_id)) AS h
+         unhex(md5(concat_ws('|', coalesce(a.dataset, '?'), coalesce(e.series_key, ''), coalesce(e.action_category, '?')))) AS cell,
+         unhex(md5(concat('6:', a.object_id))) AS h
   FROM asset a LEFT JOIN {entry} e ON a.object_id = e.object_id),
 wanted AS (
   SELECT /*+ BROADCAST(r) */ r.request_id, r.subset_size AS k, b.*
@@ -44,7 +44,7 @@ last_rank AS (
   SELECT request_id, coalesce(min_by(CAST(ceil((k - below) / open) AS BIGINT), n) FILTER (WHERE below + n * open >= k), max(n)) AS top
   FROM growing GROUP BY request_id),
 local AS (
-  SELECT w.*, l.top, row_number() OVER (PARTITION BY w.request_id, cell, pmod(xxhash64(h), {salts}) ORDER BY h, object_id) AS part_rank
+  SELECT /*+ BROADCAST(l) */ w.*, l.top, row_number() OVER (PARTITION BY w.request_id, cell, pmod(xxhash64(h), {salts}) ORDER BY h, object_id) AS part_rank
   FROM wanted w JOIN last_rank l ON w.request_id = l.request_id),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY request_id, cell ORDER BY h, object_id) AS cell_rank
@@ -54,7 +54,7 @@ late AS (
   SELECT r.*, row_number() OVER (PARTITION BY r.request_id ORDER BY cell) AS turn FROM ranked r WHERE cell_rank = top)
 SELECT request_id, object_id, dataset, series_key, action_category, CAST(cell_rank AS INT) AS cell_rank FROM ranked WHERE cell_rank < top
 UNION ALL
-SELECT l.request_id, object_id, dataset, series_key, action_category, CAST(cell_rank AS INT)
+SELECT /*+ BROADCAST(e) */ l.request_id, object_id, dataset, series_key, action_category, CAST(cell_rank AS INT)
 FROM late l LEFT JOIN early e ON l.request_id = e.request_id WHERE turn <= k - coalesce(taken, 0)
 """
 
