@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import materialize
 from .bpe import count_tokens, tokenizer_path
 
 #: Items in a randomised group; a bound on the memory of a task that doesn't grow with the corpus.
@@ -85,7 +86,8 @@ def pack(documents: DataFrame, capacities: DataFrame, *, folder: str | None = No
     groups = max(1, -(-documents.count() // group_items))
     chosen = spark.createDataFrame(plans, "plan_id int, tokenizer string, capacity bigint")
     items = (
-        counts.join(F.broadcast(chosen), "tokenizer")
+        materialize(counts, "p8-counts")
+        .join(F.broadcast(chosen), "tokenizer")
         .withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity")).cast("int"))
         .withColumn("rest", F.col("n_tokens") % F.col("capacity"))
     )

@@ -31,7 +31,7 @@ from .assets import dataset_key
 #: A weakly suspect message is residue from this many texts in this many sources on.
 RECURS, SOURCES = 3, 2
 #: Most words of dummy Latin that are learnt (bounds what is sent to the workers), and the longest weak message in words.
-LATIN_WORDS, SHORT = 2_000, 12
+LATIN_WORDS, SHORT = 2_000, 8
 
 # ---- fixed values: names of template slots, marks that are no slots, and phrases of messages ----
 _SLOT_WORDS = "action|actor|adjective|adverb|amount|angle|author|body|caption|category|clip|count|date|description|direction|distance|duration|field|file|label|limb|location|mood|motion|name|noun|number|object|person|place|placeholder|prop|side|speed|subject|summary|tag|target|tempo|text|time|title|value|verb|view|word"
