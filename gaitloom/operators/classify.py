@@ -147,7 +147,7 @@ def prototype_candidates(captions: DataFrame, prototypes: DataFrame, rule_nodes:
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
             score, by_leaf = x @ combined.T, x @ leaf.T
             for k, given in enumerate(pdf["node_ids"]):
-                for n in given if given is not None else ():
+                for n in set(given) if given is not None else ():
                     if n in place:
                         score[k, place[n]] += RULE_BONUS
             best = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :keep]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.runtime import spread
 
 
 def entries(motion_index: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def entries(motion_index: DataFrame) -> DataFrame:
     captions = X.searchable_captions("captions")
     told = X.squeeze("description")
     first = F.when(F.size(captions) > 0, captions[0]).otherwise("")
-    row = motion_index.select(
+    row = spread(motion_index.select("record_id", "dataset", "motion_id", "source_motion", "captions", "description", "object_id", "cache_glb", "frame_count")).select(
         "record_id",
         d.alias("dataset"),
         m.alias("motion_id"),

@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.runtime import materialize
+
+
+def indexed(entry: DataFrame, text_col: str = "search_text") -> DataFrame:
+    """Entries with their ``tokens``, written once: the table every other index table and every search is read from."""
+    return materialize(entry.withColumn("tokens", X.tokens(text_col)), "indexed")
+
+
+def tokens_of(entry: DataFrame, text_col: str = "search_text") -> Column:
+    """The stored tokens of an indexed table, else those of its text."""
+    return F.col("tokens") if "tokens" in entry.columns else X.tokens(text_col)
 
 
 def postings(entry: DataFrame, id_col: str = "object_id", text_col: str = "search_text") -> DataFrame:
     """``(id, token, tf)``; the count is combined on the map side, and a document is never gathered."""
-    return entry.select(id_col, F.explode(X.tokens(text_col)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
+    return entry.select(id_col, F.explode(tokens_of(entry, text_col)).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))
 
 
 def document_lengths(posting: DataFrame, id_col: str = "object_id") -> DataFrame:
@@ -19,7 +30,7 @@ def document_lengths(posting: DataFrame, id_col: str = "object_id") -> DataFrame
 
 def token_lengths(entry: DataFrame, id_col: str = "object_id", text_col: str = "search_text") -> DataFrame:
     """Document lengths straight from the text: no shuffle."""
-    return entry.select(id_col, F.size(X.tokens(text_col)).cast("bigint").alias("dl"))
+    return entry.select(id_col, F.size(tokens_of(entry, text_col)).cast("bigint").alias("dl"))
 
 
 def idf(posting: DataFrame, documents: int, id_col: str = "object_id") -> DataFrame:
@@ -27,3 +38,9 @@ def idf(posting: DataFrame, documents: int, id_col: str = "object_id") -> DataFr
     n = F.lit(float(max(documents, 1)))
     counted = posting.groupBy("token").agg(F.count("*").alias("df"))
     return counted.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+
+
+def query_postings(entry: DataFrame, tokens: list[str], id_col: str = "object_id", text_col: str = "search_text") -> DataFrame:
+    """Postings of a bounded set of tokens: other tokens are dropped inside the row, before anything is shuffled."""
+    wanted = F.filter(tokens_of(entry, text_col), lambda t: t.isin(*tokens))
+    return entry.select(id_col, F.explode(wanted).alias("token")).groupBy(id_col, "token").agg(F.count("*").alias("tf"))

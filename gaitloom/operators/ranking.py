@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import query_tokens
+from .postings import query_postings, token_lengths
 
 #: Requests are configuration of a run; more in one batch is an error, so what is broadcast stays small.
 MOST_QUERIES = 100_000
@@ -37,16 +38,16 @@ def query_table(spark: SparkSession, queries: Sequence[tuple[str, str]]) -> Data
     return spark.createDataFrame(rows, "query_id string, query string, token string, qc int, terms int")
 
 
-def lexical_scores(entry: DataFrame, posting: DataFrame, queries: DataFrame, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def lexical_scores(entry: DataFrame, queries: DataFrame, posting: DataFrame | None = None, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query_id, object_id, dataset, motion_id, score)`` of every entry that holds a query token.
 
-    BM25 times coverage plus the substring and identity bonuses. Only postings of query tokens leave the scan
-    (broadcast of the bounded query table); document frequencies are counted among these only.
+    BM25 times coverage plus the substring and identity bonuses. Only postings of query tokens leave the scan, from a
+    published postings table if one is given, else from the entries; document frequencies are counted among these only.
     """
-    tokens = queries.select("token").distinct()
-    hits = posting.join(F.broadcast(tokens), "token")
-    lengths = document_stats = entry.select("object_id", F.size(X.tokens("search_text")).cast("bigint").alias("dl"))
-    n, mean = document_stats.agg(F.count("*"), F.avg("dl")).first()
+    tokens = [r.token for r in queries.select("token").distinct().collect()]  # bounded by MOST_QUERIES requests
+    hits = posting.where(F.col("token").isin(*tokens)) if posting is not None else query_postings(entry, tokens)
+    lengths = token_lengths(entry)
+    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
     n, mean = max(int(n or 0), 1), max(float(mean or 0.0), 1.0)
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -260,4 +260,21 @@ SELECT vec_id, CASE WHEN abs(roll) < 8 THEN 0 ELSE round(roll, 2) END AS roll FR
 keyed AS (SELECT *, score / greatest(first * 0.3::DOUBLE, 1e-6) - ln(-ln((('0x' || left(md5('seed7:' || query_id || ':' || object_id), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS key FROM pool)
 SELECT query_id, object_id, place FROM (SELECT query_id, object_id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, object_id) AS place FROM keyed) WHERE place <= 20""",
         "tag_texts": f"SELECT record_id, array_to_string({ttokens("concat_ws(' ', dataset, motion_id, description)")}, '|') AS tokens, {series("coalesce(dataset, '')", "coalesce(motion_id, '')")} AS series_key, {squeeze("regexp_replace(regexp_replace(replace(coalesce(motion_id, ''), '_', ' '), '\\s+([.,:;])', '\\1', 'g'), '([-/])', ' \\1 ', 'g')")} AS readable FROM motion_index",
+        "library_page": f"WITH RECURSIVE {LIBRARY} SELECT object_id, dataset, motion_id, frame_count FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false) ORDER BY dataset, motion_id, object_id LIMIT 20 OFFSET 20",
+        "library_total": f"WITH RECURSIVE {LIBRARY} SELECT count(*) AS total FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false)",
+        "prototype_classify": f"""WITH RECURSIVE {FORCE},{CLOSURE},
+root AS (SELECT node_id, arg_max(ancestor_id, distance) AS root_id FROM up GROUP BY 1),
+emb AS (SELECT vec_id, object_id, embedding::DOUBLE[] AS v FROM semantic_index WHERE embedding IS NOT NULL AND len(embedding) > 0 AND object_id IS NOT NULL),
+label AS (SELECT n.id AS node_id, n.parent_id, r.root_id FROM taxonomy_node n JOIN root r ON r.node_id = n.id WHERE asset_taxonomy AND NOT coalesce(legacy_only, false) AND kind = 'action'),
+x AS (SELECT l.*, unnest(v) AS val, generate_subscripts(v, 1) AS k FROM emb JOIN force f ON f.object_id = emb.object_id JOIN label l ON l.node_id = f.classification.primary_action_node_id),
+leaf AS (SELECT node_id, list(m ORDER BY k) AS v FROM (SELECT node_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+grp AS (SELECT parent_id, list(m ORDER BY k) AS v FROM (SELECT parent_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+major AS (SELECT root_id, list(m ORDER BY k) AS v FROM (SELECT root_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+proto AS (SELECT l.node_id, a.v AS lv, b.v AS gv, c.v AS mv FROM label l JOIN leaf a ON a.node_id = l.node_id JOIN grp b ON b.parent_id = l.parent_id JOIN major c ON c.root_id = l.root_id),
+ruled AS (SELECT DISTINCT object_id, n.id AS node_id FROM (SELECT object_id, unnest(classification.action_nodes) AS n FROM force)),
+s AS (SELECT e.object_id, e.vec_id, p.node_id, round(0.7::DOUBLE * list_dot_product(e.v, lv) + 0.2::DOUBLE * list_dot_product(e.v, gv) + 0.1::DOUBLE * list_dot_product(e.v, mv) + CASE WHEN r.node_id IS NOT NULL THEN 0.015::DOUBLE ELSE 0 END, 6) AS score, round(list_dot_product(e.v, lv), 6) AS leaf_score
+      FROM emb e CROSS JOIN proto p LEFT JOIN ruled r ON r.object_id = e.object_id AND r.node_id = p.node_id),
+five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, node_id) AS turn FROM s) WHERE turn <= 5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, node_id ORDER BY score DESC, vec_id) AS nth FROM five) WHERE nth = 1)
+SELECT object_id, rank, node_id, score, leaf_score, vec_id AS matched_vec FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, node_id) AS rank FROM best) WHERE rank <= 5""",
     }

@@ -46,3 +46,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are task slots.
+
+    For costly per-row work over a few files or row groups. Where the scan already gives every slot work, as any
+    large table does, nothing is moved. A plan whose partitions can't be told before it runs is left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        there = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    except Exception:  # noqa: BLE001
+        return df
+    return df.repartition(slots) if 0 < there < slots else df

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .functions import text as X
 from .operators import audit, classify, entries as E, evaluate, facets, hierarchy as H, postings as P, ranking as R
 from .oracles import CASES, DENSE, LIB_FILTERS, QUERIES
+from .plans.library import Browse, browse
 from .plans.runtime import table
+from .plans.search import Request, search
 from .sources.files import roll_degrees
 from .streaming.incremental import windowed_counts
 
@@ -36,8 +38,8 @@ def _force(s, d):
 
 
 def _lexical(s, d):
-    entry = _entry(s, d)
-    return R.lexical_scores(entry, P.postings(entry), R.query_table(s, QUERIES))
+    entry = P.indexed(_entry(s, d))
+    return R.lexical_scores(entry, R.query_table(s, QUERIES))
 
 
 def _library(s, d):
@@ -449,5 +451,32 @@ def tag_texts(s, d):
     return table(s, d, "motion_index").select("record_id", F.array_join(X.taxonomy_tokens(said), "|").alias("tokens"), X.series_key(v("dataset"), v("motion_id")).alias("series_key"), X.stem_description(v("motion_id")).alias("readable"))
 
 
+@query
+def search_page(s, d):
+    return search(P.indexed(_entry(s, d)), Request("a dancer catches a soft ball", top_k=20, mode="lexical"))[0]
+
+
+@query
+def search_hybrid_page(s, d):
+    rows = table(s, d, "semantic_index")
+    stored = [list(r.embedding) for r in rows.where("vec_id IN (202, 303) AND embedding IS NOT NULL").orderBy("vec_id").select("embedding").collect()]
+    encode = lambda texts: [stored[k % len(stored)] for k in range(len(texts))]
+    return search(P.indexed(_entry(s, d)), Request("push a stiff door open, then sits quietly", top_k=20), captions=rows, encode=encode)[0]
+
+
+def _browse(s, d):
+    return browse(_library(s, d), _nodes(s, d), Browse(LIB_FILTERS, sort="motion_id", offset=20, limit=20))
+
+
+@query
+def library_page(s, d):
+    return _browse(s, d)["page"].select("object_id", "dataset", "motion_id", "frame_count")
+
+
+@query
+def library_total(s, d):
+    return _browse(s, d)["total"]
+
+
 def queries() -> dict[str, Query]:
     return dict(_all)

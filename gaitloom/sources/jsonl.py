@@ -30,7 +30,7 @@ def assignments(spark: SparkSession, path: str) -> DataFrame:
 def classification_entries(spark: SparkSession, path: str) -> DataFrame:
     """Index rows with an object id and trimmed, non-blank captions, as the classifier reads them."""
     rows = _lines(spark, path, schemas.INDEX).where("trim(object_id) <> ''")
-    return rows.withColumn("captions", F.filter(F.transform("captions", F.trim), lambda c: c != ""))
+    return rows.withColumn("captions", F.filter(F.transform("captions", lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), lambda c: c != ""))
 
 
 def cases(spark: SparkSession, path: str, split: str = "all") -> DataFrame:
