@@ -24,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.runtime import spread
+
 #: Upper bounds of the piece length buckets in bytes; longer pieces are merged one by one.
 WIDTHS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 #: Pieces remembered by a worker between batches (bounds its memory, not its results).
@@ -222,7 +224,7 @@ def encode_corpus(documents: DataFrame, *, tokenizer: str = "byte_bpe_50k", fold
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
 
     read = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(read).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(documents: DataFrame, *, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,4 +250,4 @@ def count_tokens(documents: DataFrame, *, tokenizer: str, folder: str | None = N
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     read = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return read.mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(read).mapInArrow(run, "doc_id bigint, n_tokens bigint")

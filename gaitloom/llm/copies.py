@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import materialize
+from ..plans.runtime import materialize, spread
 
 #: Names of the attribute captions of this corpus; a parameter of the operators.
 ATTRIBUTE_NAMES = ("action", "count", "level", "mood", "prop", "side", "tempo", "view")
@@ -132,7 +132,7 @@ def normal_records(motion_index: DataFrame, *, names: tuple[str, ...] = ATTRIBUT
             yield pa.RecordBatch.from_arrays(columns, names=["record_id", "fp_high", "fp_low", "content"][: len(columns)])
 
     read = motion_index.where(F.col("record_id").isNotNull()).select("record_id", "captions", "description")
-    return read.mapInArrow(run, _NORMAL if content else _NORMAL.rsplit(",", 1)[0])
+    return spread(read).mapInArrow(run, _NORMAL if content else _NORMAL.rsplit(",", 1)[0])
 
 
 @F.pandas_udf(T.BooleanType())

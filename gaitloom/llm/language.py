@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.runtime import spread
 from .bpe import _blocks
 
 #: Bounds of the labelled sample the classifier is fitted on, and of the fit itself.
@@ -241,7 +242,7 @@ def identify(documents: DataFrame, *, notations: dict[str, tuple[str, ...]] = NO
                 )
 
     read = documents.select("doc_id", "text", label_code(F.col("lang"), notations).alias("label"))
-    return read.mapInArrow(run, _OUT)
+    return spread(read).mapInArrow(run, _OUT)
 
 
 def wrong_or_mixed(documents: DataFrame) -> DataFrame:

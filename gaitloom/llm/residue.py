@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import materialize
+from ..plans.runtime import materialize, spread
 from .assets import dataset_key
 
 #: A weakly suspect message is residue from this many texts in this many sources on.
@@ -234,7 +234,7 @@ def suspects(motion_index: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["record_id", "slot", "kind", "strong", "message", "source"])
 
     read = motion_index.where(F.col("record_id").isNotNull()).select("record_id", "captions", "description", F.coalesce(dataset_key(), F.lit("?")).alias("source"))
-    return read.mapInArrow(run, _OUT)
+    return spread(read).mapInArrow(run, _OUT)
 
 
 def residue(motion_index: DataFrame, *, recurs: int = RECURS, sources: int = SOURCES) -> DataFrame:
