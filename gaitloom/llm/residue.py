@@ -101,6 +101,7 @@ _FILLER = re.compile(
         (
             rf"^{_MARK} (?:{_EDIT}|{_THING}|#)\b",
             rf"^{_MARK}$",
+            r"^to be (?:added|announced|completed|confirmed|decided|defined|determined|described|done|entered|filled|provided|specified|supplied|written)\b.{0,40}$",
             rf"^{_EDIT} (?:a |an |the |your |in |some |final |proper |short |actual )*(?:\w+ )?{_THING}\b(?: (?:of the \w+|here|later|below|when \w+|once \w+|for \w+ #|annotator #|#|soon|now))*$",
             rf"^(?:\w+ ){{0,2}}{_THING} (?:goes here|comes here|coming soon|pending|missing|follows|to follow|to be \w+|to do|to come|tbd|will (?:follow|come|be \w+)|is (?:missing|pending|tbd|coming|empty|required|not)|not yet)\b.{{0,40}}$",
             rf"^(?:your|some|the|a|new|untitled|unnamed|default|sample|example|dummy|test|temp|blank|empty|no) (?:\w+ )?{_THING}(?: here| copy| #| goes here| below)*$",

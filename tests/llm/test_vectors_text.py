@@ -79,7 +79,7 @@ def test_identical_vectors_and_small_tables(spark):
 
 RESIDUE = {
     "placeholder": ["Someone {{ verb | default('') }} the bar", "A {0} skips", "the <%= action %> grid", "[[BODY_PART]] up", "left TBD next", "a XXXX step", "on __body_part__ now", "The «tempo» beat", "on %s mat", "a &lt;verb&gt; b", "heads ???NAME???", "kept @@action@@", "drops ${motion.FILL IN DIRECTION} hands", "over 226 [caption_text] of tape"],
-    "filler": ["Lorem ipsum dolum gradus simil", "TODO add action text later", "((pending)) insert label text when known!", "Your description here", "test test test", "hier Text einfügen", "待补充说明", "asdf asdf qwer", "— ADD WORDING —", "untitled caption (888)", "Note to self: fill in label text later"],
+    "filler": ["Lorem ipsum dolum gradus simil", "TODO add action text later", "((pending)) insert label text when known!", "Your description here", "test test test", "hier Text einfügen", "待补充说明", "asdf asdf qwer", "— ADD WORDING —", "untitled caption (888)", "Note to self: fill in label text later", "To be filled in by the annotator"],
     "error": ["404 Not Found", "Error 404: caption sheet 601 not found", "Upstream said 503 service unavailable (ref 2)", '{"error": "rate limit exceeded", "retry_after": 2}', "<h1>Gateway Timeout</h1>", "Seite nicht gefunden (Fehler 564)", "登录已过期，请重新登录", "java.lang.NullPointerException at CaptionLoader:663", "Your session has expired. Log in again to see captions."],
     "script": ["Please enable JavaScript to continue", "You must turn on client-side scripts to continue.", "<noscript>The caption editor only works with scripting</noscript>", "Veuillez activer les scripts pour afficher la légende", "请启用脚本后再查看本页面", "Your browser has blocked the scripts this page depends on"],
 }
