@@ -180,7 +180,7 @@ base AS (SELECT record_id, trim(object_id) AS object_id, coalesce(dataset, '') A
 cap AS (SELECT record_id, object_id, unnest(list_transform(listed, lambda c: {clean('c')})) AS caption, generate_subscripts(listed, 1) - 1 AS k FROM base),
 caption_row AS (
   SELECT record_id, object_id, {title('dataset', 'motion_id')} AS caption, -1 AS caption_rank, 'source_title' AS source_type FROM base WHERE {title('dataset', 'motion_id')} <> ''
-  UNION ALL SELECT record_id, object_id, caption, min(k), 'caption' FROM cap WHERE {searchable('caption')} GROUP BY record_id, object_id, caption)"""
+  UNION ALL SELECT record_id, object_id, caption, min(k)::INTEGER, 'caption' FROM cap WHERE {searchable('caption')} GROUP BY record_id, object_id, caption)"""
 
 
 def statements() -> dict[str, str]:
@@ -198,9 +198,9 @@ fused AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.object
         "tokenize_terms": f"WITH RECURSIVE {ENTRY},{POSTING} SELECT object_id, token, tf FROM posting",
         "doc_length": f"WITH RECURSIVE {ENTRY},{POSTING} SELECT e.object_id, coalesce(sum(tf), 0)::BIGINT AS dl FROM entry e LEFT JOIN posting p ON p.object_id = e.object_id GROUP BY 1",
         "idf_table": f"WITH RECURSIVE {ENTRY},{POSTING}, n AS (SELECT count(*) AS n FROM entry) SELECT token, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM posting, n GROUP BY token",
-        "bm25_search": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL} SELECT query_id, object_id, dataset, motion_id, score, rank FROM lexical_rank WHERE rank <= 50",
+        "bm25_search": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL} SELECT query_id, object_id, dataset, motion_id, score, rank::INTEGER AS rank FROM lexical_rank WHERE rank <= 50",
         "fts_candidates": f"WITH RECURSIVE {ENTRY},{POSTING},{query_values()} SELECT DISTINCT query_id, object_id FROM query_term t JOIN posting p ON p.token = t.token",
-        "entries_page": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL}, s AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM lexical), f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset, motion_id, object_id) AS place FROM s WHERE dataset = 'motionxpp') SELECT query_id, object_id, score, coalesce(round(score / nullif(best, 0), 6), 0) AS pooled_score, total, place FROM f WHERE place BETWEEN 21 AND 40",
+        "entries_page": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL}, s AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM lexical), f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset, motion_id, object_id) AS place FROM s WHERE dataset = 'motionxpp') SELECT query_id, object_id, score, coalesce(round(score / nullif(best, 0), 6), 0) AS pooled_score, total, place::INTEGER AS place FROM f WHERE place BETWEEN 21 AND 40",
         "dataset_summary": f"{e} SELECT dataset, count(*) AS n FROM entry GROUP BY 1",
         "sort_frame_count_desc": f"{e} SELECT object_id, dataset, motion_id, frame_count FROM entry ORDER BY coalesce(frame_count, 0) DESC, dataset, motion_id, object_id LIMIT 20 OFFSET 40",
         "page_counts": f"{e} SELECT dataset, greatest(1, ceil(count(*) / 20.0))::BIGINT AS pages FROM entry GROUP BY 1",
@@ -208,8 +208,8 @@ fused AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.object
         "anti_unclassified": f"{e} SELECT object_id FROM entry WHERE object_id NOT IN (SELECT object_id FROM motion_entry WHERE object_id IS NOT NULL)",
         "semi_known_ids": f"{e} SELECT vec_id FROM semantic_index WHERE object_id IN (SELECT object_id FROM entry)",
         "unknown_ids": f"{e} SELECT DISTINCT object_id FROM semantic_index WHERE object_id IS NOT NULL AND object_id NOT IN (SELECT object_id FROM entry)",
-        "dense_topk": f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM dense_rank WHERE rank <= 50",
-        "best_caption_per_object": f"WITH {DENSE_SQL} SELECT query_id, object_id, rank, round(score, 6) AS score FROM dense_best",
+        "dense_topk": f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense_rank WHERE rank <= 50",
+        "best_caption_per_object": f"WITH {DENSE_SQL} SELECT query_id, object_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense_best",
         "full_outer_fusion": f"{fused} SELECT query_id, f.object_id, round(fused, 9) AS fused FROM fused f JOIN entry e ON e.object_id = f.object_id",
         "running_weight": "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM orders",
         "hierarchy_closure": f"WITH RECURSIVE {CLOSURE} SELECT node_id, ancestor_id, distance FROM up",
@@ -226,7 +226,7 @@ fused AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.object
         "facets_default": facets_sql({}),
         "facets_self_excluding": facets_sql(_ok),
         "facets_sparse": f"SELECT * FROM ({facets_sql(_ok)}) WHERE n > 0 AND (facet NOT LIKE 'action\\_node%' ESCAPE '\\' OR value IN (SELECT id FROM taxonomy_node WHERE asset_taxonomy AND NOT coalesce(legacy_only, false)))",
-        "rule_phrase_match": f"WITH {ENTRY},{_MATCHED} SELECT object_id, node_id, matched, length FROM match",
+        "rule_phrase_match": f"WITH {ENTRY},{_MATCHED} SELECT object_id, node_id, matched, length::INTEGER AS length FROM match",
         "space_keyword_axis": f"WITH {ENTRY}, body AS (SELECT object_id, {ttokens("concat_ws(' ', dataset, motion_id, description, array_to_string(captions, ' '))")} AS t FROM entry), k AS (SELECT object_id, list_has_any(t, [{', '.join(map(q, X.INDOOR))}]) AS i, list_has_any(t, [{', '.join(map(q, X.OUTDOOR))}]) AS o FROM body) SELECT object_id, CASE WHEN i AND NOT o THEN 'indoor' WHEN o AND NOT i THEN 'outdoor' ELSE 'mixed_or_unspecified' END AS space FROM k",
         "confidence_thresholds": f"WITH {_SCORED} SELECT hs AS high_score, hm AS high_margin, ms AS medium_score, mm AS medium_margin FROM cut",
         "confidence_levels": f"WITH {_SCORED} SELECT object_id, level FROM level",
@@ -258,7 +258,7 @@ SELECT vec_id, CASE WHEN abs(roll) < 8 THEN 0 ELSE round(roll, 2) END AS roll FR
         "serialize_entries": f"{e} SELECT object_id, '/api/v1/models/' || object_id AS rest_download_path, CASE WHEN regexp_extract(motion_id, '([^/]+)$', 1) <> '' THEN regexp_extract(motion_id, '([^/]+)$', 1) ELSE object_id END || '.glb' AS filename, '/api/v1/previews/' || object_id || '.webp' AS preview_path FROM entry",
         "sample_seeded": f"""WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL}, pool AS (SELECT *, max(CASE WHEN rank = 1 THEN score END) OVER (PARTITION BY query_id) AS first FROM lexical_rank WHERE rank <= 200),
 keyed AS (SELECT *, score / greatest(first * 0.3::DOUBLE, 1e-6) - ln(-ln((('0x' || left(md5('seed7:' || query_id || ':' || object_id), 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)) AS key FROM pool)
-SELECT query_id, object_id, place FROM (SELECT query_id, object_id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, object_id) AS place FROM keyed) WHERE place <= 20""",
+SELECT query_id, object_id, place::INTEGER AS place FROM (SELECT query_id, object_id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, object_id) AS place FROM keyed) WHERE place <= 20""",
         "tag_texts": f"SELECT record_id, array_to_string({ttokens("concat_ws(' ', dataset, motion_id, description)")}, '|') AS tokens, {series("coalesce(dataset, '')", "coalesce(motion_id, '')")} AS series_key, {squeeze("regexp_replace(regexp_replace(replace(coalesce(motion_id, ''), '_', ' '), '\\s+([.,:;])', '\\1', 'g'), '([-/])', ' \\1 ', 'g')")} AS readable FROM motion_index",
         "library_page": f"WITH RECURSIVE {LIBRARY} SELECT object_id, dataset, motion_id, frame_count FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false) ORDER BY dataset, motion_id, object_id LIMIT 20 OFFSET 20",
         "library_total": f"WITH RECURSIVE {LIBRARY} SELECT count(*) AS total FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false)",
@@ -276,5 +276,5 @@ s AS (SELECT e.object_id, e.vec_id, p.node_id, round(0.7::DOUBLE * list_dot_prod
       FROM emb e CROSS JOIN proto p LEFT JOIN ruled r ON r.object_id = e.object_id AND r.node_id = p.node_id),
 five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, node_id) AS turn FROM s) WHERE turn <= 5),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, node_id ORDER BY score DESC, vec_id) AS nth FROM five) WHERE nth = 1)
-SELECT object_id, rank, node_id, score, leaf_score, vec_id AS matched_vec FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, node_id) AS rank FROM best) WHERE rank <= 5""",
+SELECT object_id, rank::INTEGER AS rank, node_id, score, leaf_score, vec_id AS matched_vec FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, node_id) AS rank FROM best) WHERE rank <= 5""",
     }
