@@ -62,13 +62,14 @@ def metric_means(rows: DataFrame) -> DataFrame:
 def nearest_rank(rows: DataFrame, by: str, value: str, fractions: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
     """``(by, p50, p95, ...)``: ordered value at place round((n - 1) * fraction), halves to even.
 
-    The place is found with a global rank inside range-partitioned values, so a group is never gathered in a row.
+    Equal values are counted first (combined on the map side); the running count of the distinct values of a group then
+    finds the places, so no group is gathered into a row.
     """
     w = f"PARTITION BY {by} ORDER BY {value}"
-    places = ", ".join(f"max(CASE WHEN r = bround((n - 1) * {p}D) + 1 THEN {value} END) AS p{round(p * 100)}" for p in fractions)
+    places = ", ".join(f"max(CASE WHEN bround((n - 1) * {p}D) + 1 BETWEEN upto - m + 1 AND upto THEN {value} END) AS p{round(p * 100)}" for p in fractions)
     return rows.sparkSession.sql(
         f"""WITH v AS (SELECT {by}, {value}, count(*) AS m FROM {{rows}} WHERE {value} IS NOT NULL GROUP BY {by}, {value}),
                  c AS (SELECT *, sum(m) OVER ({w}) AS upto, sum(m) OVER (PARTITION BY {by}) AS n FROM v)
-            SELECT {by}, {places.replace(f"r = bround((n - 1) * ", "bround((n - 1) * ").replace("D) + 1 THEN", "D) + 1 BETWEEN upto - m + 1 AND upto THEN")} FROM c GROUP BY {by}""",
+            SELECT {by}, {places} FROM c GROUP BY {by}""",
         rows=rows,
     )

@@ -17,7 +17,6 @@ CASES = tuple((key, said, lang, kind, pattern, forbidden) for key, said, lang, k
 ))
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 LIB_FILTERS = {"dataset": "motionxpp", "space": "indoor", "action_category": "ground_travel"}
-MOTION_FRAME_PAGE = (40, 20)
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 squeeze = lambda x: f"trim(regexp_replace(coalesce({x}, ''), '{WS}', ' ', 'g'))"
