@@ -2,17 +2,19 @@
 
 Method. Vectors of unit length are dealt into shards of bounded size by their nearest centroid, and a robust-pruned
 directed graph is built in every shard (``graph.Graph``): greedy searches propose neighbours, relaxed distance pruning
-keeps diverse edges. A vector near a border enters the shards on both sides. The searches by which the vectors enter
-give their neighbours, in both directions of every proposal. A shard that would be too large is split, and vectors of
-one part search the graphs of the others; stated query sets search the graphs of their nearest cells by beam search.
-Lists from several shards are merged by vector.
+keeps diverse edges. A vector near a border enters the shards on both sides. When a graph is finished, a beam search
+over it gives the neighbours of all its vectors; the proposals by which they entered are merged in, everything in both
+directions. Vectors also search the graphs of the next nearest cells they are not in. A shard that would be too large is
+split, and vectors of one part search the graphs of the others; stated query sets search the graphs of their nearest
+cells. Lists from several shards are merged by vector.
 
 Centroids are fitted on a bounded sample of ``FIT_ROWS`` vectors; every vector is indexed. Recall against brute force is
 held at 0.9 or more by the tests, and figures are in the README.
 
 Defined results: vectors that are null, empty, of another length than most, all zero or not finite take no part; a null
 id takes no part. Of equal cosines the smaller id comes first, so of a group of identical vectors only the
-``k + 1`` smallest ids can be neighbours, and no more of them are sent anywhere. Other columns are ignored.
+``k + 1`` smallest ids can be neighbours, and no more of them are sent anywhere: the list of any further copy are the
+``k`` smallest ids of its group. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,10 @@ from .graph import Graph
 FIT_ROWS, CELL_ROWS, MOST_CELLS, SHARD_ROWS = 20_000, 5_000, 2_048, 30_000
 #: A vector enters its second cell too if that centroid's cosine is less than this below the first.
 BORDER = 0.02
+#: Cells around a vector, and how much less their cosine may be than the first's, whose finished graphs it searches.
+AROUND, REACH = 4, 0.2
+#: Width of the beam by which all vectors search finished graphs.
+BEAM = 24
 #: Cells a stated query searches, and the width of its beam.
 PROBES, QUERY_BEAM = 10, 96
 
@@ -95,7 +102,7 @@ _SENT = "cell int, part int, member boolean, vec_id bigint, vector binary"
 _HIT = "vec_id bigint, other bigint, cosine double"
 
 
-def _dealt(vectors: DataFrame, dims: int, centroids: np.ndarray, parts: np.ndarray, k: int, *, border: float | None, probes: int) -> DataFrame:
+def _dealt(vectors: DataFrame, dims: int, centroids: np.ndarray, parts: np.ndarray, k: int, *, border: float | None, reach: float = REACH, probes: int) -> DataFrame:
     """Every vector as a member of its shards, and as a query of the others it has to search."""
     shared = vectors.sparkSession.sparkContext.broadcast((centroids, parts))
 
@@ -112,7 +119,7 @@ def _dealt(vectors: DataFrame, dims: int, centroids: np.ndarray, parts: np.ndarr
                 keep = np.union1d(keep, np.flatnonzero(asked))
             x, ids, asked = x[keep], ids[keep], asked[keep]
             near = x @ c.T
-            width = min(max(2, probes), near.shape[1])
+            width = min(max(2, AROUND if border is not None else 0, probes), near.shape[1])
             top = np.argpartition(-near, width - 1, axis=1)[:, :width]
             value = np.take_along_axis(near, top, 1)
             order = np.argsort(-value, axis=1, kind="stable")
@@ -126,6 +133,12 @@ def _dealt(vectors: DataFrame, dims: int, centroids: np.ndarray, parts: np.ndarr
             part = (ids[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % split[cell]
             sent = [(row, cell, part, np.ones(len(row), bool))]
             searching = [(row[split[cell] > 1], cell[split[cell] > 1], part[split[cell] > 1])] if border is not None else []
+            if border is not None:
+                close = value >= value[:, :1] - reach
+                close[:, 0] = False
+                close[:, 1:2] &= value[:, 1:2] < value[:, :1] - border
+                q, z = np.nonzero(close)
+                searching.append((q, top[q, z], np.full(len(q), -1)))
             if probes:
                 q = np.repeat(np.flatnonzero(asked), width)
                 searching.append((q, top[asked].ravel(), np.full(len(q), -1)))
@@ -170,7 +183,7 @@ def _best(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> np.ndarray:
 
 
 def shard_neighbours(x: np.ndarray, ids: np.ndarray, member: np.ndarray, k: int, least: float, *, all_members: bool, query_beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbours found in one shard: of all its members (from their entering searches), and of its queries."""
+    """Neighbours found in one shard: of all its members (by entering it and by searching it), and of its queries."""
     keep = np.flatnonzero(member)
     keep = keep[_first_copies(x[keep], ids[keep], k + 1)]
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -187,7 +200,14 @@ def shard_neighbours(x: np.ndarray, ids: np.ndarray, member: np.ndarray, k: int,
         a = np.repeat(np.arange(graph.n), graph.keep)
         b, s = graph.near.ravel(), graph.near_score.ravel()
         use = (b >= 0) & (s >= least)
-        a, b, s = a[use], b[use].astype(np.int64), s[use]
+        links = [(a[use], b[use].astype(np.int64), s[use])]
+        for c in range(0, graph.n, 256):
+            found, score = graph.search(distinct[c : c + 256], query_beam)
+            q, z = np.nonzero((found < graph.n) & (score >= least))
+            links.append((c + q, found[q, z].astype(np.int64), score[q, z]))
+        a, b, s = (np.concatenate(z) for z in zip(*links))
+        use = a != b
+        a, b, s = a[use], b[use], s[use]
         self_ = np.flatnonzero(np.diff(first) > 1)
         a, b, s = np.concatenate([a, b, self_]), np.concatenate([b, a, self_]), np.concatenate([s, s, np.ones(len(self_))])
         out.append(_expanded(a, b, s, first, members, ids, k))
@@ -200,7 +220,10 @@ def shard_neighbours(x: np.ndarray, ids: np.ndarray, member: np.ndarray, k: int,
         number = np.minimum(np.diff(first)[b], k + 1)
         each = np.repeat(np.arange(len(b)), number)
         inner = np.arange(len(each)) - np.repeat(np.cumsum(number) - number, number)
-        out.append((ids[rows][q[each]], ids[members[first[b[each]] + inner]], s[each]))
+        asks, answers = ids[rows][q[each]], ids[members[first[b[each]] + inner]]
+        out.append((asks, answers, s[each]))
+        if all_members:
+            out.append((answers, asks, s[each]))
     if not out:
         return none
     a, b, s = (np.concatenate(z) for z in zip(*out))
@@ -222,13 +245,36 @@ def _searched(dealt: DataFrame, dims: int, k: int, least: float, *, all_members:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
 
 
+def _nearest(vectors: DataFrame, dims: int, centroids: np.ndarray, parts: np.ndarray, k: int, least: float) -> DataFrame:
+    """The k nearest of every vector but the further copies of ``_further_copies``."""
+    dealt = _dealt(vectors.select("vec_id", "embedding", F.lit(False).alias("asked")), dims, centroids, parts, k, border=BORDER, probes=0)
+    return _searched(dealt, dims, k, least, all_members=True, query_beam=BEAM)
+
+
+def _further_copies(vectors: DataFrame, dims: int, k: int) -> DataFrame:
+    """``(vec_id, others)``: identical vectors beyond the ``k + 1`` smallest ids, with the ``k`` smallest ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, at = unit_rows(batch.column(1), dims)
+            keys = pa.array([xxhash.xxh3_128_digest(row) for row in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), keys], names=["vec_id", "key"])
+
+    keyed = vectors.where(F.col("vec_id").isNotNull()).select("vec_id", "embedding").mapInArrow(run, "vec_id bigint, key binary")
+    first = keyed.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("place") <= k + 1)
+    groups = first.groupBy("key").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") > k)
+    return keyed.join(groups, "key").where(F.col("vec_id") > F.element_at("ids", -1)).select("vec_id", F.slice("ids", 1, k).alias("others"))
+
+
 def nearest_of_all(vectors: DataFrame, *, k: int = 5, least: float = -1.0) -> DataFrame:
     """``(vec_id, other, cosine, rank)``: the k nearest of every vector whose cosine is at least ``least``."""
     dims, centroids, parts = _layout(vectors)
     if centroids is None:
         return vectors.sparkSession.createDataFrame([], _HIT + ", rank int")
-    dealt = _dealt(vectors.select("vec_id", "embedding", F.lit(False).alias("asked")), dims, centroids, parts, k, border=BORDER, probes=0)
-    return _searched(dealt, dims, k, least, all_members=True, query_beam=QUERY_BEAM)
+    further = _further_copies(vectors, dims, k)
+    near = _nearest(vectors, dims, centroids, parts, k, least).join(further.select("vec_id"), "vec_id", "left_anti")
+    told = further.select("vec_id", F.posexplode("others").alias("place", "other"))
+    return near.unionByName(told.select("vec_id", "other", F.lit(1.0).alias("cosine"), (F.col("place") + 1).alias("rank")))
 
 
 def nearest_of_queries(vectors: DataFrame, asked, *, k: int = 5, probes: int = PROBES, beam: int = QUERY_BEAM) -> DataFrame:
@@ -242,5 +288,9 @@ def nearest_of_queries(vectors: DataFrame, asked, *, k: int = 5, probes: int = P
 
 def mutual_pairs(vectors: DataFrame, *, k: int = 5, least: float = 0.9) -> DataFrame:
     """``(vec_a, vec_b)``: each among the k nearest of the other, with at least the given cosine."""
-    near = nearest_of_all(vectors, k=k, least=least)
+    dims, centroids, parts = _layout(vectors)
+    if centroids is None:
+        return vectors.sparkSession.createDataFrame([], "vec_a bigint, vec_b bigint")
+    # further copies are among the nearest of no vector
+    near = _nearest(vectors, dims, centroids, parts, k, least)
     return near.groupBy(F.least("vec_id", "other").alias("vec_a"), F.greatest("vec_id", "other").alias("vec_b")).agg(F.count("*").alias("n")).where("n = 2").select("vec_a", "vec_b")

@@ -67,6 +67,26 @@ def test_stated_queries_reach_recall(spark, monkeypatch):
     assert pairs and all(s[a, b] >= 0.9 - 1e-5 for a, b in pairs)
 
 
+def test_nearest_of_all_on_all_links(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_ROWS", 1000)
+    x = unit(3000, d=16, seed=3)
+    best, _ = brute(x, 5)
+    got = {}
+    for r in ann.nearest_of_all(vectors(spark, x)).collect():
+        got.setdefault(r.vec_id, set()).add(r.other)
+    hit = np.array([len(got[i] & set(b)) for i, b in enumerate(best.tolist())])
+    assert hit.sum() / 15000 >= 0.9 and (hit <= 2).mean() <= 0.05
+
+
+def test_every_copy_has_a_list(spark):
+    x = np.vstack([np.repeat(unit(1), 30, axis=0), unit(50, seed=9)])
+    got = {}
+    for r in ann.nearest_of_all(vectors(spark, x)).orderBy("vec_id", "rank").collect():
+        got.setdefault(r.vec_id, []).append(r.other)
+    assert set(got) == set(range(80)) and all(got[i] == [j for j in range(6) if j != i][:5] for i in range(30))
+    assert all(len(set(v)) == 5 for v in got.values())
+
+
 def test_identical_vectors_and_small_tables(spark):
     x = np.vstack([np.repeat(unit(1), 300, axis=0), unit(200, seed=9)])
     got = {tuple(r) for r in ann.mutual_pairs(vectors(spark, x)).collect()}
