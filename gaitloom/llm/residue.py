@@ -2,7 +2,7 @@
 
 Method. Every text is masked: numbers, codes, addresses and dates become one sign, case, punctuation, markup and Unicode
 form go, and what remains is hashed. Phrase and placeholder rules give a text strong evidence (it can be nothing else) or
-weak evidence (a short message about pages, scripts, sessions or captions). Weakly suspect texts are grouped by their
+weak evidence (a message about pages, scripts, sessions or captions that is short or addresses its reader). Weakly suspect texts are grouped by their
 exact normalised hash over all records and sources, and count as residue where the message recurs widely. The words of
 dummy Latin are learnt from the texts that begin with it.
 
@@ -30,7 +30,7 @@ from .assets import dataset_key
 
 #: A weakly suspect message is residue from this many texts in this many sources on.
 RECURS, SOURCES = 3, 2
-#: Most words of dummy Latin that are learnt (bounds what is sent to the workers), and the longest weak message in words.
+#: Most words of dummy Latin that are learnt (bounds what is sent to the workers), and the longest weak message in words that need not address its reader.
 LATIN_WORDS, SHORT = 2_000, 8
 
 # ---- fixed values: names of template slots, marks that are no slots, and phrases of messages ----
@@ -113,6 +113,8 @@ _FILLER = re.compile(
 )
 _KEYS = re.compile(r"^(?:(?:asdf\w*|qwer\w*|zxcv\w*|hjkl\w*|wasd|blah?|foo|bar|baz|abc|xyz|([a-z])\1{2,})(?: |$))+$")
 _WEAK = re.compile(r"\b(?:error|err|page|server|browser|scripts?|scripting|session|log ?in|viewer|editor|caption\w*|description|placeholder|untitled|unavailable|loading|load|request|click|download|cookies?|refresh|reload|site|website|copyright|subscribe|maintenance|expired|undefined|admin\w*|annotat\w*|wording)\b|脚本|页面|服务器|登录|错误|稍后|填写|补充|输入|示例")
+#: Words by which a message of any length speaks to its reader, as no description of a motion does.
+_ADDRESS = re.compile(r"\b(?:you|your|please|sorry|we|our|bitte|veuillez|désolé|lo sentimos|por favor|alstublieft|извините|пожалуйста)\b|请|請|您|抱歉|ください")
 
 _TAG = re.compile(r"</?[a-z][a-z0-9]{0,11}(?:\s[^<>]*)?/?>", re.I)
 _MASKED = re.compile(r"https?://\S+|www\.\S+|\S+@\S+\.\w+|\b\d{1,4}[-/.:]\d{1,2}(?:[-/.:]\d{1,4})?\b|\b0x[0-9a-f]+\b|\b[ev]\d+\b|\d+(?:[.,]\d+)*", re.I)
@@ -198,7 +200,7 @@ def judge(text: str, latin: frozenset[str]) -> tuple[str, bool, str]:
         return "filler", True, said
     if len(said) > 3 and len(words) == 1 and len(said) % 2 == 0 and said[: len(said) // 2] * 2 == said:
         return "filler", True, said
-    if len(words) <= SHORT and _WEAK.search(said):
+    if _WEAK.search(said) and (len(words) <= SHORT or _ADDRESS.search(said)):
         return "message", False, said
     return "", False, said
 

@@ -134,6 +134,15 @@ def test_residue_slots_and_index(spark):
     assert residue.residue(df.limit(0)).count() == 0
 
 
+def test_long_recurring_messages_are_grouped(spark):
+    said = "We moved this site to another address, so please refresh the viewer window once more before you go on"
+    told = "a young trainee turns a page that nobody found under the frame and sits back until the box is touched"
+    rows = [(k, [said], told, f"s{k % 2}") for k in range(4)]
+    df = spark.createDataFrame(rows, "record_id bigint, captions array<string>, description string, dataset string")
+    assert {(r.record_id, r.slot) for r in residue.residue(df).collect()} == {(k, 0) for k in range(4)}
+    assert residue.residue(df.where("record_id < 2")).count() == 0
+
+
 TEXTS = {
     "en": ["the performer walks along the line with care", "a dancer catches a soft ball near the wall", "someone rests on a low chair and waits there"],
     "de": ["die darstellerin geht mit vorsicht über die linie", "der tänzer fängt einen weichen ball an der wand", "jemand setzt sich auf den hocker und wartet dort"],
