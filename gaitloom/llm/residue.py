@@ -141,12 +141,13 @@ _STEMS = (
     "err fault fail warning status http exception code request upstream said response fehler erro fout ошибк found gateway missing no·such does·not exist "
     "unavailable unreachable offline responding denied forbidden authori restricted locked exceeded too·many expired timed·out time·out valid unexpected parse·error syntax "
     "connection timeout abort nullpointer java traceback keyerror valueerror typeerror stack·trace segmentation core·dumped undefined is·not nan·is could·not cannot can't can’t couldn unable·to wrong maintenance "
-    "no·longer try·again contact log·in login sign·in serverf zugriff introuvable accès acceso acesso página страниц доступ "
+    "no·longer try·again contact log·in login sign·in server host database store service internal file record quota token permission moved method unauthori lock can·t seite pagina zugriff introuvable accès acceso acesso página страниц доступ "
     "scripts scripting client noscript ecma js skript скрипт スクリプト 脚本 腳本 todo to·do fixme tbd tba tbc tktk xxxx lorem placeholder dummy draft pending note stub wip xxx sample example fill·me "
     "caption clip description entry field label title summary wording annotat text content copy untitled unnamed "
     "add ask·for complete describe enter insert paste replace provide supply type write fill·in fill·out put "
     "einfügen eingeben eintragen ergänzen folgt fehlt compléter insérer venir remplir texto descripción título inserte descrição insira tekst beschrijving вставьте введите описание "
     "服务器 伺服器 页面 頁面 找不到 登录 登錄 会话 链接 访问 权限 稍后 加载 请求 エラー ページ アクセス 此处 这里 在此 此處 這裡 待 示例 示範 占位 样例 測試 测试 请 ここ 説明 本文 キャプション ダミー "
+    "action motion name to·be asdf qwer zxcv hjkl wasd bla foo bar baz abc xyz script load website 错误 補充 补充 输入 填写 "
     "page browser session viewer editor loading click download cookie refresh reload site copyright subscribe admin"
 ).split()
 _stems: list = []
@@ -166,6 +167,8 @@ def _about(text: str, latin: frozenset[str]) -> bool:
     return next(_stems[1].iter(" " + text), None) is not None
 
 
+#: The one alternative of ``_KEYS`` without a stem: a letter struck again and again.
+_STRUCK = re.compile(r"[\W_]*([a-z])\1\1", re.I)
 _SIGNS = re.compile(r"[{}\[\]<>%$@«»‹›&]|__|\?\?\?")
 
 
@@ -176,7 +179,7 @@ def _repeats(words: list[str]) -> bool:
 def judge(text: str, latin: frozenset[str]) -> tuple[str, bool, str]:
     """Kind ("" for none), whether the evidence is strong, and the masked form of a text."""
     plain = opened(text)
-    about = len(plain) <= 60 or _about(_OTHER.sub(" ", plain.casefold()), latin)
+    about = len(plain) <= 60 or _STRUCK.match(plain) is not None or _about(_OTHER.sub(" ", plain.casefold()), latin)
     if (about or _SIGNS.search(plain)) and _PLACEHOLDERS.search(plain):
         said = masked(plain)
         if said.startswith("lorem"):

@@ -143,6 +143,18 @@ def test_long_recurring_messages_are_grouped(spark):
     assert residue.residue(df.where("record_id < 2")).count() == 0
 
 
+LONG = [f"429 {w} used up, wait until the window opens again and walk on" for w in ("Internal", "Service", "File", "Record", "Quota", "Token", "Permission", "Moved", "Method")]
+LONG += ["The server is down", "The database is offline", "unauthorized", "lock by another user", "We can't reach it", "Seite nicht gefunden", "pagina niet gevonden"]
+LONG += ["asdf qwer zxcv hjkl wasd blah foo bar baz abc xyz " * 2, "aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk lll mmm nnn ooo ppp qqq"]
+
+
+@pytest.mark.parametrize("text", LONG)
+def test_long_texts_meet_every_rule(text):
+    if len(text) <= 60:
+        text += ", walks on beside the tall wall with both hands held high above"
+    assert len(text) > 60 and residue.judge(text, frozenset({"lorem", "ipsum"}))[1], text
+
+
 TEXTS = {
     "en": ["the performer walks along the line with care", "a dancer catches a soft ball near the wall", "someone rests on a low chair and waits there"],
     "de": ["die darstellerin geht mit vorsicht über die linie", "der tänzer fängt einen weichen ball an der wand", "jemand setzt sich auf den hocker und wartet dort"],
