@@ -1,8 +1,12 @@
-"""A robust-pruned directed proximity graph over unit vectors, built and searched in numpy batches.
+"""A robust-pruned directed proximity graph over unit vectors, built and searched in numpy.
 
-Points enter in batches. A greedy beam search over the graph so far proposes the neighbours of every point of the
-batch, batch mates add theirs, relaxed distance pruning keeps a diverse few, and reverse edges are added, pruned again
-where a list overflows. All points of a batch move through the search together, a few expansions a step.
+Points enter in rounds of doubling size, each round in blocks of points that lie close together. A greedy beam search of
+the graph so far proposes the neighbours of every point of a block, block mates add theirs, relaxed distance pruning keeps
+a diverse few, and reverse edges are added, pruned again where a list overflows.
+
+The queries of a block walk together: whatever one of them expands is scored for all of them by one matrix product, and
+each keeps a beam of its own. A block ends when every point in any of its beams has been expanded, so each query has seen
+at least what it would have seen alone.
 """
 
 from __future__ import annotations
@@ -10,83 +14,81 @@ from __future__ import annotations
 import numpy as np
 
 
+def blocks(x: np.ndarray, size: int, seed: int = 4) -> list[np.ndarray]:
+    """Places of the rows in groups of at most ``size`` that lie close together (median cuts between two rows)."""
+    random, done, todo = np.random.default_rng(seed), [], [np.arange(len(x))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= size:
+            if len(own):
+                done.append(own)
+            continue
+        a, b = random.choice(len(own), 2, replace=False)
+        side = x[own] @ (x[own[a]] - x[own[b]])
+        half = len(own) // 2
+        order = np.argpartition(side, half)
+        todo += [own[order[:half]], own[order[half:]]]
+    return done
+
+
 class Graph:
     """Rows of ``x`` must have unit length. ``degree`` bounds out-edges after pruning, ``slack`` the edges before."""
 
-    def __init__(self, x: np.ndarray, *, degree: int = 24, slack: int = 12, beam: int = 24, relax: float = 1.1, batch: int = 256, mates: int = 8, keep: int = 8, expand: int = 4):
-        self.n, self.degree, self.width, self.beam = len(x), degree, degree + slack, beam
+    def __init__(self, x: np.ndarray, *, degree: int = 24, slack: int = 24, beam: int = 16, relax: float = 1.1, block: int = 128, mates: int = 8, expand: int = 4):
+        self.n, self.degree, self.width, self.block = len(x), degree, degree + slack, block
         self.relax2, self.expand = np.float32(relax * relax), expand
         self.x = np.vstack([x, np.zeros((1, x.shape[1]), np.float32)]).astype(np.float32)
         self.edges = np.full((self.n + 1, self.width), self.n, np.int32)
         self.fill = np.zeros(self.n + 1, np.int32)
-        self.keep = keep
-        #: Best proposals met while the point entered: ids and scores, -1 where there are fewer.
-        self.near = np.full((self.n, keep), -1, np.int32)
-        self.near_score = np.full((self.n, keep), -2, np.float32)
         self.entry = int(np.argmax(x @ x.mean(0))) if self.n else 0
         order = np.random.default_rng(4).permutation(self.n)
         if self.n:
             order = np.concatenate(([self.entry], order[order != self.entry]))
         done = 0
         while done < self.n:
-            size = min(batch, max(32, done), self.n - done)
-            self._enter(order[done : done + size], done > 0, mates)
-            done += size
+            more = order[done : done + max(block, done)]
+            for own in blocks(self.x[more], block, done):
+                self._enter(more[own], done > 0, beam, mates)
+            done += len(more)
 
-    def search(self, q: np.ndarray, beam: int, *, steps: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the beam of every query, best first; missing entries have id n and score -2."""
-        rows, n = len(q), self.n
-        seen = np.zeros((rows, n + 1), bool)
-        seen[:, n] = True
-        seen[:, self.entry] = True
-        every = np.arange(rows)[:, None]
-        ids = np.full((rows, beam), n, np.int32)
-        score = np.full((rows, beam), -2, np.float32)
-        open_ = np.zeros((rows, beam), bool)
-        ids[:, 0], score[:, 0], open_[:, 0] = self.entry, q @ self.x[self.entry], True
-        live = np.arange(rows)
-        for _ in range(steps):
-            going = open_[live].any(1)
-            if not going.all():
-                live = live[going]
-                if not len(live):
-                    break
-            whole = len(live) == rows
-            i, s, o = (ids, score, open_) if whole else (ids[live], score[live], open_[live])
-            at = np.argsort(~o, axis=1, kind="stable")[:, : self.expand]
-            line = every[: len(live)]
-            chosen = np.where(o[line, at], i[line, at], n)
-            o[line, at] = False
-            around = self.edges[chosen].reshape(len(live), -1)
-            own = live[:, None]
-            fresh = ~seen[own, around]
-            seen[own, around] = True
-            most = int(fresh.sum(1).max())
-            if most == 0:
-                open_[live] = o
+        ids = np.full((len(q), beam), self.n, np.int32)
+        score = np.full((len(q), beam), -2, np.float32)
+        for own in blocks(q, self.block):
+            ids[own], score[own] = self._walk(q[own], beam)
+        return ids, score
+
+    def _walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, n = np.arange(len(q))[:, None], self.n
+        met, expanded = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        met[[n, self.entry]] = expanded[n] = True
+        ids = np.full((len(q), beam), n, np.int32)
+        score = np.full((len(q), beam), -2, np.float32)
+        ids[:, 0], score[:, 0] = self.entry, q @ self.x[self.entry]
+        while True:
+            waiting = ~expanded[ids]
+            if not waiting.any():
+                return ids, score
+            # the first few of every beam that wait, the beams being in order
+            next_ = np.unique(ids[waiting & (np.cumsum(waiting, axis=1) <= self.expand)])
+            expanded[next_] = True
+            around = self.edges[next_].ravel()
+            around = np.unique(around[~met[around]])
+            if not len(around):
                 continue
-            pick = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
-            around, fresh = around[line, pick], fresh[line, pick]
-            around = np.where(fresh, around, n)
-            points = self.x[around]
-            value = np.matmul(points, q[live][:, :, None])[:, :, 0]
-            value[~fresh] = -2
-            all_i, all_s = np.concatenate([i, around], 1), np.concatenate([s, value], 1)
-            all_o = np.concatenate([o, value > -2], 1)
-            best = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
-            best = best[line, np.argsort(-all_s[line, best], axis=1)]
-            i, s, o = all_i[line, best], all_s[line, best], all_o[line, best]
-            # a neighbour met twice in one step stands twice in a row, with one score: only one place counts
-            twice = i[:, 1:] == i[:, :-1]
-            s[:, 1:][twice] = -2
-            o[:, 1:][twice] = False
-            if whole:
-                ids, score, open_ = i, s, o
-            else:
-                ids[live], score[live], open_[live] = i, s, o
-        ids[score <= -2] = n
-        order = np.argsort(-score, axis=1, kind="stable")
-        return ids[every, order], score[every, order]
+            met[around] = True
+            value = q @ self.x[around].T
+            useful = np.flatnonzero((value > score[:, -1:]).any(0))
+            if not len(useful):
+                continue
+            every = np.concatenate([score, value[:, useful]], 1)
+            best = np.argpartition(-every, beam - 1, axis=1)[:, :beam]
+            part = every[rows, best]
+            order = np.argsort(-part, axis=1)
+            best, score = best[rows, order], part[rows, order]
+            fresh = np.broadcast_to(around[useful].astype(np.int32), (len(q), len(useful)))
+            ids = np.concatenate([ids, fresh], 1)[rows, best]
 
     def _prune(self, p: np.ndarray, cand: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Relaxed distance pruning of candidate lists: kept ids (padded with n) and their number."""
@@ -110,11 +112,11 @@ class Graph:
             alive &= ~(there[:, None] & (gap[line, first] <= own))
         return kept, count
 
-    def _enter(self, p: np.ndarray, searched: bool, mates: int) -> None:
+    def _enter(self, p: np.ndarray, searched: bool, beam: int, mates: int) -> None:
         q = self.x[p]
         parts_i, parts_s = [], []
         if searched:
-            i, s = self.search(q, self.beam)
+            i, s = self._walk(q, beam)
             parts_i.append(i)
             parts_s.append(s)
         if len(p) > 1:
@@ -127,11 +129,6 @@ class Graph:
         if not parts_i:
             return
         cand, score = np.concatenate(parts_i, 1), np.concatenate(parts_s, 1)
-        top = np.argsort(-score, axis=1, kind="stable")[:, : self.keep]
-        rows = np.arange(len(p))[:, None]
-        ids, values = cand[rows, top], score[rows, top]
-        self.near[p, : ids.shape[1]] = np.where(values > -2, ids, -1)
-        self.near_score[p, : ids.shape[1]] = values
         kept, count = self._prune(p, cand, score, self.degree)
         self.edges[p, : self.degree] = kept
         self.fill[p] = count
@@ -151,10 +148,10 @@ class Graph:
         self.fill[unique] = np.minimum(self.fill[unique] + number, self.width)
         if full.any():
             over = unique[full]
-            extra = int(np.minimum(number[full], self.width).max())
+            extra = int(number[full].max())
             more = np.full((len(over), extra), self.n, np.int32)
             row = np.cumsum(full) - 1
-            mine = np.repeat(full, number) & (place < extra)
+            mine = np.repeat(full, number)
             more[np.repeat(row, number)[mine], place[mine]] = tail[mine]
             cand = np.concatenate([self.edges[over, : self.width], more], 1)
             score = np.matmul(self.x[cand], self.x[over][:, :, None])[:, :, 0]

@@ -52,6 +52,10 @@ def p4_nearest(spark: SparkSession, d: str) -> DataFrame:
     return ann.nearest_of_queries(table(spark, d, "semantic_index"), F.col("vec_id") % 100 == 0)
 
 
+def p4_all(spark: SparkSession, d: str) -> DataFrame:
+    return ann.nearest_of_all(table(spark, d, "semantic_index")).select("vec_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "motion_index")).select("record_id", "slot")
 
@@ -97,7 +101,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_nearest, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_nearest, p4_all, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:

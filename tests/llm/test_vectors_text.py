@@ -53,6 +53,7 @@ def test_mutual_pairs_against_brute_force(spark):
 
 def test_stated_queries_reach_recall(spark, monkeypatch):
     monkeypatch.setattr(ann, "CELL_ROWS", 150)
+    monkeypatch.setattr(ann, "FLAT", 4)
     monkeypatch.setattr(ann, "SHARD_ROWS", 120)
     x = clustered(5)
     best, _ = brute(x, 5)
@@ -78,6 +79,27 @@ def test_nearest_of_all_on_all_links(spark, monkeypatch):
     assert hit.sum() / 15000 >= 0.9 and (hit <= 2).mean() <= 0.05
 
 
+def test_a_crowd_of_copies_has_lists_and_costs_few_rows(spark):
+    x = np.vstack([np.repeat(unit(1), 1000, axis=0), unit(300, seed=9)])
+    df = vectors(spark, x).repartition(2)
+    rows = ann.nearest_of_all(df).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.vec_id, []).append(r.other)
+    assert set(got) == set(range(1300)) and all(set(got[i]) == set([j for j in range(6) if j != i][:5]) for i in range(1000))
+    dims, cells, parts = ann._layout(df)
+    assert ann._dealt(df.withColumn("asked", F.lit(False)), dims, cells, parts, 5).where("member").count() <= 300 + 2 * 6
+
+
+def test_cells_in_two_levels_agree_with_one(monkeypatch):
+    x = clustered(7)
+    monkeypatch.setattr(ann, "FLAT", 4)
+    cells = ann.Cells(x, 30)
+    near, value = cells.nearest(x, 3)
+    true = (x @ cells.centroids.T).argmax(1)
+    assert len(cells) >= 20 and (near[:, 0] == true).mean() >= 0.9 and (value[:, 0] >= value[:, 1]).all()
+
+
 def test_every_copy_has_a_list(spark):
     x = np.vstack([np.repeat(unit(1), 30, axis=0), unit(50, seed=9)])
     got = {}
@@ -111,48 +133,68 @@ FINE = [
 ]
 
 
+LATIN = frozenset({"lorem", "ipsum", "dolum", "gradus", "simil"})
+INDEX = "record_id bigint, captions array<string>, description string, dataset string"
+
+
 @pytest.mark.parametrize("kind", RESIDUE)
 def test_residue_is_named(kind):
+    judge = residue.Judge(LATIN)
     for text in RESIDUE[kind]:
-        got = residue.judge(text, frozenset({"lorem", "ipsum", "dolum", "gradus", "simil"}))
-        assert got[0] == kind and got[1], (text, got)
+        got = judge(text)
+        assert got[1] if kind == "placeholder" else got[0] == kind, (text, got)
+
 
+#: Plain descriptions that speak of failing, and others that hold a word of a message.
+DECOYS = ["The athlete failed to open the parachute", "He could not reach the top shelf", "actor cannot reach the ball", "A dancer is unable to open the heavy door", *FINE]
 
-def test_descriptions_stay():
-    for text in [*FINE, *[t.upper() for t in FINE]]:
-        assert residue.judge(text, frozenset({"lorem", "ipsum"}))[0] == "", text
+
+def test_descriptions_stay(spark):
+    judge = residue.Judge(LATIN)
+    for text in [*DECOYS[:4], *[t.upper() for t in DECOYS[:4]]]:
+        assert judge(text)[:2] == ("", False), text
+    rows = [(k, [t, t.upper()], t.title(), f"s{k % 3}") for k, t in enumerate(DECOYS)]
+    assert residue.residue(spark.createDataFrame(rows, INDEX)).count() == 0
+
+
+def test_only_recurring_messages_and_open_slots_count(spark):
+    rows = [(k, [f"Error {400 + k}: page not found (ref {k})"], "walks on", f"s{k % 2}") for k in range(3)]
+    rows += [(10, ["Record locked by another user"], "a {0} b", "s0"), (11, [f"Gateway timeout {k}" for k in range(4)], None, "s0")]
+    rows += [(20 + k, [("Please " if k else "Kindly ") + "turn on scripts" + (" and reload this page" if k % 2 else " to continue")], None, f"s{k % 2}") for k in range(6)]
+    got = {(r.record_id, r.slot): r.kind for r in residue.residue(spark.createDataFrame(rows + rows[:1], INDEX)).collect()}
+    assert got == {**{(k, 0): "error" for k in range(3)}, (10, -1): "placeholder", **{(20 + k, 0): "script" for k in range(6)}}
 
 
 def test_residue_slots_and_index(spark):
-    rows = [(1, ["fine words here", "404 Not Found", None, ""], "TODO add caption later", "a"), (2, None, None, "b"), (3, ["test test test"], "placeholder caption 9", "c"), (4, [], "a fine one", None), (None, ["404 Not Found"], None, "a")]
-    rows += [(10 + k, ["click to reload the viewer"], "walks on", f"s{k % 2}") for k in range(3)] + [(20, ["download the editor"], "walks", "a")]
-    df = spark.createDataFrame(rows, "record_id bigint, captions array<string>, description string, dataset string")
+    rows = [(k, ["fine words here", "404 Not Found", None, ""], "TODO add caption later", f"s{k % 2}") for k in range(3)]
+    rows += [(5, None, None, "b"), (6, ["on %s mat"], "404 not found!", "c"), (7, [], "a fine one", None), (None, ["404 Not Found"], None, "a"), (20, ["download the editor"], "walks", "a")]
+    rows += [(10 + k, ["click to reload the viewer"], "walks on", f"s{k % 2}") for k in range(3)]
+    df = spark.createDataFrame(rows, INDEX)
     got = {(r.record_id, r.slot) for r in residue.residue(df).collect()}
-    assert got == {(1, 1), (1, -1), (3, 0), (3, -1), (10, 0), (11, 0), (12, 0)}
+    assert got == {(k, s) for k in range(3) for s in (1, -1)} | {(6, 0), (6, -1), (10, 0), (11, 0), (12, 0)}
     kept = {r.record_id: (r.captions, r.description) for r in residue.without_residue(df).collect()}
-    assert kept[1] == (["fine words here", None, ""], None) and 3 not in kept and kept[20] == (["download the editor"], "walks") and kept[10] == ([], "walks on")
+    assert kept[1] == (["fine words here", None, ""], None) and 6 not in kept and kept[20] == (["download the editor"], "walks") and kept[10] == ([], "walks on")
     assert residue.residue(df.limit(0)).count() == 0
 
 
-def test_long_recurring_messages_are_grouped(spark):
-    said = "We moved this site to another address, so please refresh the viewer window once more before you go on"
-    told = "a young trainee turns a page that nobody found under the frame and sits back until the box is touched"
-    rows = [(k, [said], told, f"s{k % 2}") for k in range(4)]
-    df = spark.createDataFrame(rows, "record_id bigint, captions array<string>, description string, dataset string")
-    assert {(r.record_id, r.slot) for r in residue.residue(df).collect()} == {(k, 0) for k in range(4)}
-    assert residue.residue(df.where("record_id < 2")).count() == 0
+LONG = ["Die von Ihnen in dieser Sammlung angeforderte Seite wurde auf unserem Rechner leider nicht gefunden", "De door u gevraagde pagina is op dit moment helaas op geen enkele plek niet gevonden", "We moved this site to another address, so please refresh the viewer window once more before you go on"]
 
 
-LONG = [f"429 {w} used up, wait until the window opens again and walk on" for w in ("Internal", "Service", "File", "Record", "Quota", "Token", "Permission", "Moved", "Method")]
-LONG += ["The server is down", "The database is offline", "unauthorized", "lock by another user", "We can't reach it", "Seite nicht gefunden", "pagina niet gevonden"]
-LONG += ["asdf qwer zxcv hjkl wasd blah foo bar baz abc xyz " * 2, "aaa bbb ccc ddd eee fff ggg hhh iii jjj kkk lll mmm nnn ooo ppp qqq"]
-
-
-@pytest.mark.parametrize("text", LONG)
-def test_long_texts_meet_every_rule(text):
-    if len(text) <= 60:
-        text += ", walks on beside the tall wall with both hands held high above"
-    assert len(text) > 60 and residue.judge(text, frozenset({"lorem", "ipsum"}))[1], text
+def test_long_recurring_messages_are_grouped(spark):
+    told = "a young trainee turns a page that nobody found under the frame and sits back until the box is touched"
+    rows = [(k, [LONG[k % 3]], told, f"s{k // 3 % 2}") for k in range(12)]
+    df = spark.createDataFrame(rows, INDEX)
+    assert {(r.record_id, r.slot) for r in residue.residue(df).collect()} == {(k, 0) for k in range(12)}
+    assert residue.residue(df.where("record_id < 6")).count() == 0
+
+
+def test_every_anchor_is_reached_at_any_length():
+    judge, walk = residue.Judge(LATIN), "the actor walks over the mat " * 200
+    for k, rule in enumerate(residue.RULES):
+        for anchor in rule.anchors:
+            said = f" {walk}{anchor.rstrip('*')} {walk}"
+            assert k in {r for _, rules in judge.anchors.iter(said) for r in rules}, (rule.kind, anchor)
+        assert any(a.rstrip("*") in residue.RULES[k].pattern.replace("\\", "") for a in rule.anchors)
 
 
 TEXTS = {
