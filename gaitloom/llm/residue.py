@@ -105,7 +105,6 @@ RULES = (
     _rule("error", "denied|exceeded|forbidden|refused|restricted|not permitted", r"\b(?:access|permission|quota|limit|request|requests)(?: \w+){0,5} @(?!\w)"),
     _rule("error", "failed to|could not|couldn t|cannot|can t|unable to", rf"\b@ (?:be )?(?:load|fetch|open|read|parse|connect|retrieve|render|display|process|reach|find|play)\w*(?: (?:the|this|your|a|that|to|requested|caption|motion))* {_DATA}\b"),
     _rule("error", "error*|err|fault|failure|warning|status|http|exception|fehler*|erreur|erro|fout*|ошибка", r"^(?:\w+ )?@ (?:code |status )?#(?: |$)"),
-    _rule("error", "refresh|reload|click|download|subscribe|log in|sign in|go back", rf"\b@(?: \w+){{0,4}} {_DATA}\b"),
     _rule("error", "nicht gefunden|niet gevonden|introuvable*|no encontrad*|não encontrad*|не найден*|nicht verfügbar|niet beschikbaar|indisponible*|no disponible|indisponível|недоступ*", rf"\b{_PAGE}{_GAP}?@|@{_GAP}?{_PAGE}\b"),
     _rule("error", "interner serverfehler|interner fehler|interne serverfout|interne fout|erreur interne|error interno|erro interno|внутренняя ошибка|zugriff verweigert|toegang geweigerd|accès refusé|acceso denegado|acesso negado|доступ запрещ*"),
     _rule("error", "错误|錯誤|不存在|过期|過期|失效|拒绝|稍后再试|加载失败|请求超时|エラー|見つかりません|拒否", r"(?:服务器|伺服器|页面|頁面|网页|網頁|文件|登录|登錄|会话|链接|访问|权限|内容|请求|请|加载|サーバー?|ページ|アクセス).{0,8}@|@"),
@@ -127,6 +126,8 @@ RULES = (
     _rule("filler", "aquí|pendiente|por completar|inserte|aqui|a completar|insira|hier|volgt|invoegen|вставьте|введите|отсутствует", r"^(?:@ )?(?:\w+ )?(?:texto|descripción|título|descrição|tekst|beschrijving|текст|описание|название)(?: \w+){0,2}(?: @|$)"),
     _rule("filler", "填写|填寫|输入|輸入|插入|补充|補充|填入|添加|待定|完善|入力|記入|挿入|準備中|未入力", r"(?:此处|这里|在此|此處|這裡|请|待|ここ|説明|本文).{0,8}@|^.{0,6}@.{0,8}$|待定"),
     _rule("filler", "示例|示範|占位|样例|測試|测试|ダミー", r"@(?:文字|文本|内容|标题|字幕|テキスト|文)"),
+    # last, as any other rule says more
+    _rule("error", "refresh|reload|click|download|subscribe|log in|sign in|go back", rf"\b@(?: \w+){{0,4}} {_DATA}\b"),
 )
 _COMPILED = tuple(re.compile(r.pattern) for r in RULES)
 
