@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.runtime import table
-from . import ann, bpe, components, copies, language, near, packing, residue, targets, varied
+from . import ann, bpe, copies, language, near, packing, residue, targets, varied
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -40,8 +40,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, d: str) -> DataFrame:
-    pairs = near.near_duplicates(table(spark, d, "motion_index"))
-    return components.components(pairs).select(F.col("id").alias("record_id"), F.col("root").alias("group_id"))
+    return near.groups(table(spark, d, "motion_index"))
+
+
+def p3_weighted(spark: SparkSession, d: str) -> DataFrame:
+    links = near.class_links(table(spark, d, "motion_index"), measure="weighted", n=5)
+    return links.select("record_a", "record_b", F.round("similarity", 6).alias("similarity"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +105,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p3_groups, p4_found, p4_nearest, p4_all, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p3_groups, p3_weighted, p4_found, p4_nearest, p4_all, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
