@@ -3,9 +3,9 @@
 Method. Texts are cut into pieces by the tokenizer's own pattern. The distinct pieces of a batch are
 bucketed by byte length and laid out as padded integer matrices, one piece a row. Each round, every row
 merges its leftmost minimum-rank pair; pair ranks come from an open-addressing hash table, only the two
-ranks beside a merge are looked up again, and finished rows are compacted away. Pieces longer than the
-widest bucket are merged alone: there a round merges every non-overlapping occurrence of the minimum
-pair from left to right, which gives the same ids, because a merge only creates pairs of higher rank.
+ranks beside a merge are looked up again, and finished rows are compacted away. A matrix costs the square of
+its width, so a piece longer than the widest bucket (a run of letters of more than 1,024 bytes) is merged alone by
+the same rule, leftmost minimum-rank pair first, kept in a heap over a linked list: its cost grows with n log n.
 
 Defined results: null, and the empty text, give an empty list. Strings that look like special tokens
 are ordinary text. Extra columns are ignored; only the id and text columns are read. Repeated rows give
@@ -15,6 +15,7 @@ repeated rows.
 from __future__ import annotations
 
 import base64
+import heapq
 import os
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.runtime import spread
 
 #: Upper bounds of the piece length buckets in bytes; longer pieces are merged one by one.
-WIDTHS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
+WIDTHS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 512, 1024)
 #: Pieces remembered by a worker between batches (bounds its memory, not its results).
 REMEMBERED = 200_000
 NONE = np.int32(2**31 - 1)
@@ -106,7 +107,13 @@ class BytePairEncoder:
                     right.append(b)
                     rank.append(r)
         self.pairs = PairTable(*(np.array(x, np.int64) for x in (left, right)), np.array(rank, np.int32))
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+        self._scalar: dict[int, int] | None = None
+
+    def _forget(self) -> None:
+        #: Place of every known piece, and where its ids lie in one flat array.
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _merge_bucket(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -144,50 +151,90 @@ class BytePairEncoder:
         return out
 
     def _merge_long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte[np.frombuffer(piece, np.uint8)]
-        ranks = self.pairs.lookup(ids[:-1], ids[1:])
-        while len(ranks) and (least := ranks.min()) != NONE:
-            hits = np.flatnonzero(ranks == least)
-            # of touching hits (a run of one repeated id) every second one merges
-            start = np.concatenate(([True], np.diff(hits) > 1))
-            position = np.arange(len(hits))
-            hits = hits[(position - np.maximum.accumulate(np.where(start, position, 0))) % 2 == 0]
-            ids[hits] = least
-            keep = np.ones(len(ids), bool)
-            keep[hits + 1] = False
-            ids = ids[keep]
-            ranks = self.pairs.lookup(ids[:-1], ids[1:])
-        return ids
+        if self._scalar is None:
+            used = self.pairs.keys >= 0
+            self._scalar = dict(zip(self.pairs.keys[used].tolist(), self.pairs.ranks[used].tolist()))
+        rank_of = self._scalar.get
+        start = self.byte[np.frombuffer(piece, np.uint8)]
+        first = self.pairs.lookup(start[:-1], start[1:])
+        ids, n = start.tolist(), len(start)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ranks = [*first.tolist(), int(NONE)]
+        at = np.flatnonzero(first != NONE)
+        heap = ((first[at].astype(np.int64) << 32) | at).tolist()
+        heapq.heapify(heap)
+        while heap:
+            rank, k = divmod(heapq.heappop(heap), 1 << 32)
+            if ranks[k] != rank:
+                continue  # a neighbour has merged since
+            gone = after[k]
+            ids[k], ranks[gone] = rank, -1
+            after[k] = beyond = after[gone]
+            for left, right in ((before[k], k), (k, beyond)):
+                if left < 0:
+                    continue
+                fresh = rank_of(ids[left] << 32 | ids[right]) if right < n else None
+                ranks[left] = NONE if fresh is None else fresh
+                if fresh is not None:
+                    heapq.heappush(heap, fresh << 32 | left)
+            if beyond < n:
+                before[beyond] = k
+        out, k = [], 0
+        while k < n:
+            out.append(ids[k])
+            k = after[k]
+        return np.array(out, np.int32)
 
     def encode_pieces(self, pieces: list[str]) -> None:
-        """Encode distinct new pieces into ``self.known``."""
+        """Encode distinct new pieces and remember them."""
         raw = [p.encode("utf-8", "surrogatepass") for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        made: list[np.ndarray] = [None] * len(raw)  # type: ignore[list-item]
         for k in np.flatnonzero(lengths == 1):
-            self.known[pieces[k]] = self.byte[list(raw[k])]
+            made[k] = self.byte[list(raw[k])]
         low = 1
         for width in WIDTHS:
             group = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
-            if len(group):
-                for k, ids in zip(group, self._merge_bucket([raw[k] for k in group], width)):
-                    self.known[pieces[k]] = ids
+            # wide rows are few at a time, so that a matrix stays small
+            most = max(1, (1 << 22) // width)
+            for a in range(0, len(group), most):
+                for k, ids in zip(group[a : a + most], self._merge_bucket([raw[k] for k in group[a : a + most]], width)):
+                    made[k] = ids
         for k in np.flatnonzero(lengths > WIDTHS[-1]):
-            self.known[pieces[k]] = self._merge_long(raw[k])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts and the number of ids of each text."""
+            made[k] = self._merge_long(raw[k])
+        sizes = np.fromiter(map(len, made), np.int64, len(made))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.flat, self.size = np.concatenate([self.flat, *made]), np.concatenate([self.size, sizes])
+
+    def cut(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Pieces of all texts in order, and where each text begins among them."""
         split = [self.split(t) if t else [] for t in texts]
+        return [p for pieces in split for p in pieces], np.concatenate(([0], np.cumsum([len(p) for p in split]))).astype(np.int64)
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Places of pieces among the known ones; new ones are encoded first."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = {p for pieces in split for p in pieces} - self.known.keys()
+            self._forget()
+        new = set(pieces) - self.known.keys()
         if new:
             self.encode_pieces(list(new))
-        parts = [self.known[p] for pieces in split for p in pieces]
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def count(self, pieces: list[str], bounds: np.ndarray) -> np.ndarray:
+        """Number of ids of each text whose pieces were cut."""
+        at = self.places(pieces)
+        ends = np.concatenate(([0], np.cumsum(self.size[at])))
+        return np.diff(ends[bounds])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts and the number of ids of each text."""
+        pieces, bounds = self.cut(texts)
+        at = self.places(pieces)
+        sizes = self.size[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        bounds = np.concatenate(([0], np.cumsum([len(p) for p in split]))).astype(np.int64)
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], sizes) + np.arange(ends[-1])]
         return flat, np.diff(ends[bounds])
 
 
@@ -227,27 +274,37 @@ def encode_corpus(documents: DataFrame, *, tokenizer: str = "byte_bpe_50k", fold
     return spread(read).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def count_tokens(documents: DataFrame, *, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens)`` for a byte-level BPE or a sentencepiece vocabulary; null and empty give 0."""
-    byte_level = os.path.exists(tokenizer_path(f"{tokenizer}.tiktoken", folder))
-    path = tokenizer_path(f"{tokenizer}.tiktoken" if byte_level else f"{tokenizer}.model", folder)
-    pattern = default_pattern()
+def count_tokens(documents: DataFrame, *, tokenizers: list[str], folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, tokenizer, n_tokens)`` for byte-level BPE or sentencepiece vocabularies; null and empty give 0.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if byte_level:
-            own = encoder(path, pattern)
-        else:
-            import sentencepiece
+    All vocabularies count in one pass over the texts, and those of one pattern share the pieces it cuts.
+    """
+    pattern, files = default_pattern(), []
+    for name in tokenizers:
+        kinds = [kind for kind in (".tiktoken", ".model") if os.path.exists(tokenizer_path(name + kind, folder))]
+        if not kinds:
+            raise ValueError(f"no file of the tokenizer {name}")
+        files.append((name, kinds[0] == ".tiktoken", tokenizer_path(name + kinds[0], folder)))
 
-            own = sentencepiece.SentencePieceProcessor(model_file=path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = []
+        for name, byte_level, path in files:
+            if byte_level:
+                own.append((name, encoder(path, pattern), None))
+            else:
+                import sentencepiece
+
+                own.append((name, None, sentencepiece.SentencePieceProcessor(model_file=path)))
         for batch in batches:
             for part in _blocks(batch):
-                texts = part.column(1).to_pylist()
-                if byte_level:
-                    counts = own.encode(texts)[1]
-                else:
-                    counts = [len(x) for x in own.encode([t or "" for t in texts], num_threads=1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
+                texts, cut = part.column(1).to_pylist(), None
+                for name, bpe, pieces in own:
+                    if bpe is not None:
+                        cut = cut or bpe.cut(texts)
+                        counts = bpe.count(*cut)
+                    else:
+                        counts = [len(x) for x in pieces.encode([t or "" for t in texts], num_threads=1)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.repeat(pa.scalar(name), part.num_rows), pa.array(counts, pa.int64())], names=["doc_id", "tokenizer", "n_tokens"])
 
     read = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return spread(read).mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(read).mapInArrow(run, "doc_id bigint, tokenizer string, n_tokens bigint")

@@ -35,6 +35,16 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return targets.sample_report(available, table(spark, d, "sample_target"))
 
 
+def p2_targets(spark: SparkSession, d: str) -> DataFrame:
+    available = targets.candidates(table(spark, d, "motion_index"), table(spark, d, "motion_entry"))
+    return targets.target_report(available, table(spark, d, "sample_target"))
+
+
+def p2_margins(spark: SparkSession, d: str) -> DataFrame:
+    available = targets.candidates(table(spark, d, "motion_index"), table(spark, d, "motion_entry"))
+    return targets.margin_sample(available, table(spark, d, "sample_target"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near.near_duplicates(table(spark, d, "motion_index"))
 
@@ -105,7 +115,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY classified_at
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p3_found, p3_groups, p3_weighted, p4_found, p4_nearest, p4_all, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
+    return {f.__name__: f for f in (p1_found, p1_collapsed, p2_found, p2_sample, p2_report, p2_targets, p2_margins, p3_found, p3_groups, p3_weighted, p4_found, p4_nearest, p4_all, p5_found, p5_kinds, p5_index, p6_subset, p7_ids, p8_containers, p8_report, p9_found, p9_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -118,5 +128,13 @@ have AS (SELECT dataset, action_category, count(*) AS n FROM cand GROUP BY ALL)
 SELECT t.plan_id, t.dataset, t.action_category
 FROM sample_target t LEFT JOIN have h ON h.dataset = t.dataset AND h.action_category = t.action_category
 WHERE coalesce(h.n, 0) < greatest(t.min_rows, round(t.target_share * t.sample_size))""",
+        "p2_targets": f"""
+WITH force AS ({_FORCE}),
+cand AS (SELECT DISTINCT m.object_id, lower(trim(m.dataset)) AS dataset, f.action_category
+         FROM motion_index m JOIN force f ON m.object_id = f.object_id WHERE m.dataset IS NOT NULL),
+have AS (SELECT dataset, action_category, count(*) AS n FROM cand GROUP BY ALL),
+told AS (SELECT t.*, CAST(greatest(min_rows, round(target_share * sample_size)) AS BIGINT) AS requested, coalesce(h.n, 0) AS available
+         FROM sample_target t LEFT JOIN have h ON h.dataset = t.dataset AND h.action_category = t.action_category)
+SELECT plan_id, sample_size, dataset, action_category, target_share, min_rows, requested, available, available >= requested AS met FROM told""",
         "p6_subset": varied.ORACLE,
     }
