@@ -24,9 +24,14 @@ def parse_bool(value, default: bool = False) -> bool:
     return True if said in {"1", "true", "yes", "y", "on"} else False if said in {"0", "false", "no", "n", "off"} else default
 
 
+def first_value(parameters: dict[str, list[str]], name: str, default: str = "") -> str:
+    """First value of a query parameter; the default where it is missing or has none."""
+    return next(iter(parameters.get(name) or ()), default)
+
+
 def clauses(text: str) -> list[str]:
     """Clauses of a query; the first stands for nothing in dense scoring, where the whole text replaces it."""
-    parts = [p for p in re.split("(?i)" + CLAUSE_BREAK.replace("(and|", "(?:and|"), text) if p and p.strip()]
+    parts = [p for p in re.split("(?i)" + CLAUSE_BREAK, text) if p and p.strip()]
     return [re.sub("(?i)" + CLAUSE_LEAD, "", " ".join(p.split())) for p in parts] or [text.strip()]
 
 

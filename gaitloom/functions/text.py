@@ -73,7 +73,7 @@ def match_key(x: ColumnOrName) -> Column:
 
 def clauses(x: ColumnOrName) -> Column:
     """Clauses of a query; never empty."""
-    parts = F.filter(F.split(_c(x), "(?i)" + X.CLAUSE_BREAK.replace("(and|", "(?:and|")), lambda p: F.length(squeeze(p)) > 0)
+    parts = F.filter(F.split(_c(x), "(?i)" + X.CLAUSE_BREAK), lambda p: F.length(squeeze(p)) > 0)
     cleaned = F.transform(parts, lambda p: F.regexp_replace(squeeze(p), "(?i)" + X.CLAUSE_LEAD, ""))
     return F.when(F.size(cleaned) > 0, cleaned).otherwise(F.array(F.trim(_c(x))))
 
@@ -102,6 +102,12 @@ def tokens(x: ColumnOrName) -> Column:
     return F.call_function("filter", F.flatten(F.call_function("transform", raw, F.expr(f"w -> {one}"))), kept)
 
 
+def search_text(x: ColumnOrName) -> Column:
+    """What a lexical search is given: a Han query as its alias tokens, or as it is where it has none; any other as it is."""
+    told = F.array_join(tokens(x), " ")
+    return F.when(has_han(x) & (told != ""), told).otherwise(_c(x))
+
+
 def taxonomy_tokens(x: ColumnOrName) -> Column:
     """Tokens of the rule classifier: another pattern and another stemmer than the search's."""
     one = (

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import INDOOR, OUTDOOR
-from .hierarchy import closure, legacy_axes, paths, visible
+from .hierarchy import catalog_part, closure, legacy_axes, paths, visible
 
 #: Weights of the leaf, group and major prototypes, the bonus of a node a rule named, and candidates kept.
 LEAF, GROUP, MAJOR, RULE_BONUS, KEEP = 0.7, 0.2, 0.1, 0.015, 5
-MOST_PHRASE, MOST_NODES, MOST_LABELS = 8, 8, 100_000
+MOST_NODES, MOST_LABELS = 8, 100_000
+#: Labels of one matrix product, so that a batch of captions needs bounded memory.
+LABEL_CHUNK = 4_096
 
 
 def entry_text() -> Column:
@@ -21,10 +23,10 @@ def entry_text() -> Column:
 
 
 def phrases(nodes: DataFrame) -> DataFrame:
-    """``(node_id, phrase, head)``: token phrases of every name and alias, each once."""
+    """``(node_id, phrase, head)``: token phrases of every name and alias, each once, of any length."""
     spoken = F.concat(F.array("en"), F.coalesce("aliases_en", F.array().cast("array<string>")), F.coalesce("aliases_zh", F.array().cast("array<string>")))
     told = nodes.where("kind NOT IN ('domain', 'category') OR size(aliases_en) > 0").select(F.col("id").alias("node_id"), F.explode(spoken).alias("alias"))
-    split = told.where("alias IS NOT NULL").select("node_id", X.taxonomy_tokens("alias").alias("phrase")).where(F.size("phrase").between(1, MOST_PHRASE)).distinct()
+    split = told.where("alias IS NOT NULL").select("node_id", X.taxonomy_tokens("alias").alias("phrase")).where(F.size("phrase") > 0).distinct()
     return split.withColumn("head", F.col("phrase")[0])
 
 
@@ -35,9 +37,10 @@ def phrase_matches(entry: DataFrame, nodes: DataFrame) -> DataFrame:
     compared in the row; the phrase table of the bounded catalog is broadcast.
     """
     listed = phrases(nodes)
+    longest = listed.agg(F.max(F.size("phrase"))).first()[0] or 1
     words = entry.select("object_id", X.taxonomy_tokens(entry_text()).alias("t"))
-    at = words.select("object_id", F.explode(F.transform("t", lambda _, k: F.slice(F.col("t"), k + 1, MOST_PHRASE))).alias("ahead")).withColumn("head", F.col("ahead")[0])
-    hit = at.join(F.broadcast(listed), "head").where(F.slice("ahead", F.lit(1), F.size("phrase")) == F.col("phrase"))
+    at = words.select("object_id", F.explode(F.transform("t", lambda _, k: F.slice(F.col("t"), k + 1, longest))).alias("ahead")).withColumn("head", F.col("ahead")[0])
+    hit = at.join(catalog_part(listed), "head").where(F.slice("ahead", F.lit(1), F.size("phrase")) == F.col("phrase"))
     found = hit.select("object_id", "node_id", F.array_join("phrase", " ").alias("phrase"), F.size("phrase").alias("n"))
     han = han_matches(entry, nodes)
     return found.unionByName(han).groupBy("object_id", "node_id").agg(F.array_sort(F.collect_set("phrase")).alias("matched"), F.max("n").alias("length"))
@@ -60,7 +63,7 @@ def specific(matches: DataFrame, nodes: DataFrame) -> DataFrame:
     up = closure(nodes).groupBy("node_id").agg(F.collect_set("ancestor_id").alias("ancestors"))
     known = nodes.select(F.col("id").alias("node_id"), F.coalesce("priority", F.lit(50)).alias("priority")).join(up, "node_id")
     item = F.struct((-F.col("priority")).alias("p"), (-F.col("length")).alias("l"), "node_id", "ancestors", "matched")
-    listed = matches.join(F.broadcast(known), "node_id").groupBy("object_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    listed = matches.join(catalog_part(known), "node_id").groupBy("object_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     fold = "aggregate(items, filter(items, x -> false), (acc, x) -> IF(exists(acc, c -> array_contains(c.ancestors, x.node_id) OR array_contains(x.ancestors, c.node_id)), acc, array_append(acc, x)))"
     return listed.select("object_id", F.expr(f"slice({fold}, 1, {MOST_NODES})").alias("selected"))
 
@@ -92,7 +95,7 @@ def rule_classification(entry: DataFrame, nodes: DataFrame) -> DataFrame:
         .join(space_axis(entry), "object_id")
         .join(chosen, "object_id", "left")
         .withColumn("primary_action_node_id", F.when(F.size("selected") > 0, first["node_id"]))
-        .join(F.broadcast(axes.withColumnRenamed("node_id", "primary_action_node_id")), "primary_action_node_id", "left")
+        .join(catalog_part(axes.withColumnRenamed("node_id", "primary_action_node_id")), "primary_action_node_id", "left")
     )
     size = F.when(F.size("selected") > 0, F.size("selected")).otherwise(0)
     sure = F.least(F.lit(1.0), 0.45 + 0.12 * size + F.when((F.size("selected") > 0) & (first["l"] < -1), 0.12).otherwise(0.0))
@@ -115,19 +118,31 @@ def prototype_vectors(captions: DataFrame, primary: DataFrame, nodes: DataFrame)
     Stand-in for encoded prototype texts: one map-side combined sum per leaf, rolled up over the closure.
     """
     labels = visible(nodes, leaves_only=True).select(F.col("id").alias("node_id"), F.col("parent_id"))
-    rows = captions.where("embedding IS NOT NULL AND size(embedding) > 0").join(primary, "object_id").join(F.broadcast(labels.select("node_id")), "node_id")
-    sums = rows.select("node_id", F.posexplode("embedding").alias("k", "x")).groupBy("node_id", "k").agg(F.sum(F.col("x").cast("double")).alias("s"), F.count("*").alias("n"))
+    rows = captions.where("embedding IS NOT NULL AND size(embedding) > 0").join(primary, "object_id").join(catalog_part(labels.select("node_id")), "node_id")
+
+    def added(batches):
+        total: dict[tuple[str, int], tuple[np.ndarray, int]] = {}
+        for pdf in batches:
+            for (node, dims), own in pdf["embedding"].groupby([pdf["node_id"], pdf["embedding"].map(len)]):
+                before, n = total.get((node, dims), (np.zeros(dims), 0))
+                total[node, dims] = before + np.stack(own.to_numpy()).astype(np.float64).sum(0), n + len(own)
+        for (node, _), (s, n) in total.items():
+            yield pd.DataFrame({"node_id": [node], "s": [s.tolist()], "n": [n]})
+
+    # sums of a partition leave it, not the rows of its vectors
+    part = rows.select("node_id", "embedding").mapInPandas(added, "node_id string, s array<double>, n bigint")
+    sums = part.select("node_id", "n", F.posexplode("s").alias("k", "x")).groupBy("node_id", "k").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
     up = closure(nodes)
     top = up.groupBy("node_id").agg(F.max_by("ancestor_id", "distance").alias("root_id"))
-    rolled = sums.join(F.broadcast(labels), "node_id").join(F.broadcast(top), "node_id")
+    rolled = sums.join(catalog_part(labels), "node_id").join(catalog_part(top), "node_id")
     mean = lambda key, name: rolled.groupBy(key, "k").agg((F.sum("s") / F.sum("n")).alias("m")).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias(name))
     return labels.join(top, "node_id").join(mean("node_id", "leaf"), "node_id").join(mean("parent_id", "grp"), "parent_id").join(mean("root_id", "major"), "root_id").select("node_id", "leaf", "grp", "major")
 
 
 def prototype_candidates(captions: DataFrame, prototypes: DataFrame, rule_nodes: DataFrame | None = None, *, keep: int = KEEP) -> DataFrame:
-    """``(object_id, rank, node_id, score, leaf_score, matched_vec)``: best labels of an object over its captions.
+    """``(object_id, rank, node_id, score, leaf_score, group_score, major_score, matched_vec)``: best labels of an object over its captions.
 
-    Scores of a batch of captions are one matrix product with the bounded label matrix; only the best labels of a
+    Scores of a batch of captions are matrix products with chunks of the bounded label matrix; only the best labels of a
     caption leave the worker. ``rule_nodes`` is ``(object_id, node_ids)``. Ties go to the smaller node id and vec_id.
     """
     labels = prototypes.orderBy("node_id").limit(MOST_LABELS + 1).collect()
@@ -141,23 +156,32 @@ def prototype_candidates(captions: DataFrame, prototypes: DataFrame, rule_nodes:
     rows = rows.join(rule_nodes.select("object_id", "node_ids"), "object_id", "left") if rule_nodes is not None else rows.withColumn("node_ids", F.lit(None).cast("array<string>"))
 
     def run(batches):
+        named = np.array(names, object)
         for pdf in batches:
+            pdf = pdf[pdf["embedding"].map(len) == combined.shape[1]]
             if not len(pdf):
                 continue
             x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            score, by_leaf = x @ combined.T, x @ leaf.T
-            for k, given in enumerate(pdf["node_ids"]):
-                for n in set(given) if given is not None else ():
-                    if n in place:
-                        score[k, place[n]] += RULE_BONUS
-            best = np.argsort(-np.round(score, 6), axis=1, kind="stable")[:, :keep]
-            line = np.arange(len(pdf)).repeat(best.shape[1])
-            yield pd.DataFrame({"object_id": pdf["object_id"].to_numpy()[line], "vec_id": pdf["vec_id"].to_numpy()[line], "node_id": np.array(names, object)[best.ravel()], "score": np.round(score[line, best.ravel()], 6), "leaf_score": np.round(by_leaf[line, best.ravel()], 6)})
-
-    hits = rows.select("object_id", "vec_id", "embedding", "node_ids").mapInPandas(run, "object_id string, vec_id bigint, node_id string, score double, leaf_score double")
-    each = hits.groupBy("object_id", "node_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"), "leaf_score")).alias("r"))
+            ruled = [(k, place[n]) for k, given in enumerate(pdf["node_ids"]) if given is not None for n in set(given) if n in place]
+            by, at = (np.array(z, int) for z in zip(*ruled)) if ruled else (np.zeros(0, int), np.zeros(0, int))
+            best, value = np.zeros((len(x), 0), int), np.zeros((len(x), 0))
+            for a in range(0, len(names), LABEL_CHUNK):
+                score = x @ combined[a : a + LABEL_CHUNK].T
+                own = (at >= a) & (at < a + LABEL_CHUNK)
+                score[by[own], at[own] - a] += RULE_BONUS
+                value = np.concatenate([value, np.round(score, 6)], 1)
+                best = np.concatenate([best, np.broadcast_to(np.arange(a, a + score.shape[1]), score.shape)], 1)
+                order = np.argsort(-value, axis=1, kind="stable")[:, :keep]
+                value, best = np.take_along_axis(value, order, 1), np.take_along_axis(best, order, 1)
+            line, best = np.arange(len(x)).repeat(best.shape[1]), best.ravel()
+            sides = {name: np.round((x[line] * m[best]).sum(1), 6) for name, m in (("leaf_score", leaf), ("group_score", group), ("major_score", major))}
+            yield pd.DataFrame({"object_id": pdf["object_id"].to_numpy()[line], "vec_id": pdf["vec_id"].to_numpy()[line], "node_id": named[best], "score": value.ravel(), **sides})
+
+    sides = ["leaf_score", "group_score", "major_score"]
+    hits = rows.select("object_id", "vec_id", "embedding", "node_ids").mapInPandas(run, "object_id string, vec_id bigint, node_id string, score double, " + ", ".join(f"{c} double" for c in sides))
+    each = hits.groupBy("object_id", "node_id").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"), *sides)).alias("r"))
     order = Window.partitionBy("object_id").orderBy(F.desc("r.score"), "node_id")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("object_id", "rank", "node_id", F.col("r.score").alias("score"), F.col("r.leaf_score").alias("leaf_score"), (-F.col("r.v")).alias("matched_vec"))
+    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("object_id", "rank", "node_id", F.col("r.score").alias("score"), *[F.col(f"r.{c}").alias(c) for c in sides], (-F.col("r.v")).alias("matched_vec"))
 
 
 def thresholds(scored: DataFrame) -> DataFrame:

@@ -51,8 +51,9 @@ def caption_rows(motion_index: DataFrame) -> DataFrame:
     listed = F.when(F.size("captions") > 0, F.col("captions")).otherwise(F.array(F.coalesce("description", F.lit(""))))
     cleaned = F.transform(listed, lambda c, k: F.struct(X.clean_caption(c).alias("caption"), k.alias("caption_rank")))
     kept = F.filter(cleaned, lambda r: X.searchable(r["caption"]))
-    # records are few captions long: the first occurrence is found inside the row, without a shuffle
-    first = F.filter(kept, lambda r: ~F.exists(kept, lambda o: (o["caption"] == r["caption"]) & (o["caption_rank"] < r["caption_rank"])))
+    # the first occurrence is found inside the row, in one fold over the cleaned captions, without a shuffle
+    none = F.array().cast("array<struct<caption: string, caption_rank: int>>")
+    first = F.aggregate(kept, none, lambda acc, r: F.when(F.exists(acc, lambda o: o["caption"] == r["caption"]), acc).otherwise(F.array_append(acc, r)))
     captions = base.select("record_id", "object_id", F.inline(first)).select("record_id", "object_id", "caption", "caption_rank", F.lit("caption").alias("source_type"))
     return titles.unionByName(captions)
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans.runtime import bounded
+
+#: Evaluation cases are configuration; more of them in one run are an error.
+MOST_CASES = 100_000
 
 
 def relevance(runs: DataFrame, cases: DataFrame) -> DataFrame:
@@ -16,7 +20,7 @@ def relevance(runs: DataFrame, cases: DataFrame) -> DataFrame:
     place = F.concat("dataset", F.lit("/"), "motion_id")
     said = F.concat(place, F.lit(" "), "description")
     hit = lambda ids, patterns, body: F.array_contains(ids, F.col("object_id")) | F.exists(patterns, lambda p: F.regexp_like(body, F.concat(F.lit("(?i)"), p)))
-    return runs.join(F.broadcast(cases), "query_id").withColumn("relevant", hit("relevant_ids", "patterns", said)).withColumn("forbidden", hit("forbidden_ids", "forbidden_patterns", place))
+    return runs.join(bounded(cases, MOST_CASES), "query_id").withColumn("relevant", hit("relevant_ids", "patterns", said)).withColumn("forbidden", hit("forbidden_ids", "forbidden_patterns", place))
 
 
 def query_metrics(judged: DataFrame) -> DataFrame:
@@ -59,17 +63,27 @@ def metric_means(rows: DataFrame) -> DataFrame:
     )
 
 
-def nearest_rank(rows: DataFrame, by: str, value: str, fractions: tuple[float, ...] = (0.5, 0.95)) -> DataFrame:
+def nearest_rank(rows: DataFrame, by: str, value: str, fractions: tuple[float, ...] = (0.5, 0.95), accuracy: int = 10_000) -> DataFrame:
     """``(by, p50, p95, ...)``: ordered value at place round((n - 1) * fraction), halves to even.
 
-    Equal values are counted first (combined on the map side); the running count of the distinct values of a group then
-    finds the places, so no group is gathered into a row.
+    A sketch brackets every place between two values that hold some ``4 / accuracy`` of a group; rows below a bracket are
+    only counted, and only the distinct values inside are put in order. So the result is exact, and no task sorts a large group; one of at
+    most ``10 * accuracy`` rows is its own bracket.
     """
-    w = f"PARTITION BY {by} ORDER BY {value}"
-    places = ", ".join(f"max(CASE WHEN bround((n - 1) * {p}D) + 1 BETWEEN upto - m + 1 AND upto THEN {value} END) AS p{round(p * 100)}" for p in fractions)
+    near = lambda p, d: min(1.0, max(0.0, p + d * 2 / accuracy))
+    marks = ", ".join(f"{near(p, -1)}D, {near(p, 1)}D" for p in fractions)
+    edge = lambda k, side: f"CASE WHEN n <= {10 * accuracy} THEN {side}imum ELSE marks[{k}] END"
+    parts = ", ".join(f"struct({k} AS k, CAST(bround((n - 1) * {p}D) AS BIGINT) + 1 AS place, {edge(2 * k, 'min')} AS low, {edge(2 * k + 1, 'max')} AS high)" for k, p in enumerate(fractions))
+    found = ", ".join(f"max(CASE WHEN k = {k} THEN value END) AS p{round(p * 100)}" for k, p in enumerate(fractions))
     return rows.sparkSession.sql(
-        f"""WITH v AS (SELECT {by}, {value}, count(*) AS m FROM {{rows}} WHERE {value} IS NOT NULL GROUP BY {by}, {value}),
-                 c AS (SELECT *, sum(m) OVER ({w}) AS upto, sum(m) OVER (PARTITION BY {by}) AS n FROM v)
-            SELECT {by}, {places} FROM c GROUP BY {by}""",
+        f"""WITH held AS (SELECT {by} AS grp, {value} AS value FROM {{rows}} WHERE {value} IS NOT NULL),
+                 told AS (SELECT grp, count(*) AS n, min(value) AS minimum, max(value) AS maximum, percentile_approx(value, array({marks}), {accuracy}) AS marks FROM held GROUP BY grp),
+                 bracket AS (SELECT grp, inline(array({parts})) FROM told),
+                 side AS (SELECT h.value, b.* FROM held h JOIN bracket b ON h.grp <=> b.grp WHERE h.value <= b.high),
+                 below AS (SELECT grp, k, count(*) AS less FROM side WHERE value < low GROUP BY grp, k),
+                 inside AS (SELECT grp, k, place, value, count(*) AS m FROM side WHERE value >= low GROUP BY grp, k, place, value),
+                 placed AS (SELECT i.*, coalesce(less, 0) + sum(m) OVER (PARTITION BY i.grp, i.k ORDER BY value) AS upto
+                            FROM inside i LEFT JOIN below b ON i.grp <=> b.grp AND i.k = b.k)
+            SELECT grp AS {by}, {found} FROM placed WHERE place BETWEEN upto - m + 1 AND upto GROUP BY grp""",
         rows=rows,
     )

@@ -6,22 +6,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import CONFLICT_TAGS, DOMAIN_OF_CATEGORY, LEGACY_BY_PREFIX
+from ..plans.runtime import bounded
 
-#: Deepest nesting that is followed; a cycle shows as a node that is still open there.
-DEEPEST = 32
+#: Nodes of a catalog: a bounded table that may be broadcast; more of them are an error, not a cut.
+MOST_CATALOG = 100_000
+
+
+def catalog_part(rows: DataFrame) -> DataFrame:
+    """A table derived from the catalog, for a broadcast, after its size was checked."""
+    return bounded(rows, 50 * MOST_CATALOG)
 
 
 def closure(nodes: DataFrame) -> DataFrame:
     """``(node_id, ancestor_id, distance)``, every node being its own ancestor at distance 0.
 
-    The catalog is a bounded table; the self-join is a recursive SQL query, so it stays one plan.
+    The catalog is a bounded table; the self-join is a recursive SQL query, so it stays one plan. A cycle never ends and
+    is an error at the session's limit of recursion (``spark.sql.cteRecursionLevelLimit``, 100 levels).
     """
     return nodes.sparkSession.sql(
-        f"""WITH RECURSIVE c(node_id, ancestor_id, distance) AS (
-              SELECT id, id, 0 FROM {{n}}
+        """WITH RECURSIVE c(node_id, ancestor_id, distance) AS (
+              SELECT id, id, 0 FROM {n}
               UNION ALL
-              SELECT c.node_id, n.parent_id, c.distance + 1 FROM c JOIN {{n}} n ON n.id = c.ancestor_id
-              WHERE n.parent_id IS NOT NULL AND c.distance < {DEEPEST})
+              SELECT c.node_id, n.parent_id, c.distance + 1 FROM c JOIN {n} n ON n.id = c.ancestor_id
+              WHERE n.parent_id IS NOT NULL)
             SELECT * FROM c""",
         n=nodes.select("id", "parent_id"),
     )
@@ -61,7 +68,7 @@ def subtree_counts(closed: DataFrame, tagged: DataFrame, nodes: DataFrame) -> Da
 
     ``tagged`` is ``(object_id, node_id)``. An object counts once per ancestor.
     """
-    below = tagged.join(F.broadcast(closed), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count_distinct("object_id").alias("n"))
+    below = tagged.join(catalog_part(closed), "node_id").groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count_distinct("object_id").alias("n"))
     direct = tagged.groupBy("node_id").agg(F.count_distinct("object_id").alias("direct"))
     return nodes.select(F.col("id").alias("node_id")).join(below, "node_id", "left").join(direct, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("direct", F.lit(0)).alias("direct"))
 
@@ -95,11 +102,8 @@ def legacy_axes(nodes: DataFrame, closed: DataFrame) -> DataFrame:
     """``(node_id, category, tag, domain)`` by id prefix, else by the fields of the root."""
     root = roots(closed).join(nodes.select(F.col("id").alias("root_id"), "legacy_category", "legacy_tag"), "root_id")
     pick = F.when(F.lit(False), F.struct(F.lit("").alias("c"), F.lit("").alias("t")))
-    for prefixes, category, tag in LEGACY_BY_PREFIX:
-        hit = F.lit(False)
-        for p in prefixes:
-            hit = hit | F.startswith("node_id", F.lit(p))
-        pick = pick.when(hit, F.struct(F.lit(category).alias("c"), F.lit(tag).alias("t")))
+    for prefix, (category, tag) in LEGACY_BY_PREFIX.items():
+        pick = pick.when(F.startswith("node_id", F.lit(prefix)), F.struct(F.lit(category).alias("c"), F.lit(tag).alias("t")))
     pick = pick.otherwise(F.struct(F.coalesce("legacy_category", F.lit("special_actions")).alias("c"), F.coalesce("legacy_tag", F.lit("other")).alias("t")))
     return root.select("node_id", pick.alias("p")).select("node_id", F.col("p.c").alias("category"), F.col("p.t").alias("tag"), domain_of(F.col("p.c"), F.col("p.t")).alias("domain"))
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.lexicon import query_tokens
-from .postings import query_postings, token_lengths
+from ..plans.runtime import bounded
+from .postings import Index, unpublished
 
 #: Requests are configuration of a run; more in one batch is an error, so what is broadcast stays small.
 MOST_QUERIES = 100_000
@@ -38,28 +39,48 @@ def query_table(spark: SparkSession, queries: Sequence[tuple[str, str]]) -> Data
     return spark.createDataFrame(rows, "query_id string, query string, token string, qc int, terms int")
 
 
-def lexical_scores(entry: DataFrame, queries: DataFrame, posting: DataFrame | None = None, *, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``(query_id, object_id, dataset, motion_id, score)`` of every entry that holds a query token.
-
-    BM25 times coverage plus the substring and identity bonuses. Only postings of query tokens leave the scan, from a
-    published postings table if one is given, else from the entries; document frequencies are counted among these only.
-    """
+def _weighted_hits(index: Index, queries: DataFrame, k1: float, b: float, weight) -> DataFrame:
+    """``(query_id, query, terms, object_id, raw, matched)``: summed term weights; document frequencies of the query's tokens only."""
     tokens = [r.token for r in queries.select("token").distinct().collect()]  # bounded by MOST_QUERIES requests
-    hits = posting.where(F.col("token").isin(*tokens)) if posting is not None else query_postings(entry, tokens)
-    lengths = token_lengths(entry)
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
-    n, mean = max(int(n or 0), 1), max(float(mean or 0.0), 1.0)
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = queries.join(F.broadcast(df), "token").select("query_id", "query", "token", "qc", "terms", weight.alias("idf"))
-    term = F.col("idf") * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / mean)) * F.least(F.col("qc"), F.lit(2))
-    scored = (
-        hits.join(lengths, "object_id")
-        .join(F.broadcast(weighted), "token")
+    hits = index.hits(tokens)
+    df = bounded(hits.groupBy("token").agg(F.count("*").alias("df")), max(1, len(tokens)))
+    told = queries.join(df, "token").select("query_id", "query", "token", "qc", "terms", weight(F.lit(float(index.documents)), F.col("df")).alias("idf"))
+    part = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / index.mean_length))
+    return (
+        hits.join(bounded(told, 64 * MOST_QUERIES), "token")
         .groupBy("query_id", "query", "object_id", "terms")
-        .agg(F.sum(term).alias("raw"), F.count("*").alias("matched"))
-        .join(entry.select("object_id", "dataset", "motion_id", "search_text"), "object_id")
+        .agg(F.sum(F.col("idf") * part * F.least(F.col("qc"), F.lit(2))).alias("raw"), F.sum(F.col("idf") * part).alias("plain"), F.count("*").alias("matched"))
     )
+
+
+def candidates(index: Index | DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """``(query_id, object_id, match)``: the ``limit`` best matches of every query's tokens, as a full-text table orders them.
+
+    Plain BM25 with k1 = 1.2 and b = 0.75, each distinct token counting once; ties go to the smaller object id.
+    """
+    index = index if isinstance(index, Index) else unpublished(index)
+    rare = lambda n, df: F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+    found = _weighted_hits(index, queries, 1.2, 0.75, rare).select("query_id", "object_id", F.round("plain", 6).alias("match"))
+    return top(found, limit, [F.desc("match"), F.asc("object_id")], rank="place").drop("place")
+
+
+def candidate_limit(k: int) -> int:
+    """How many candidates a search for k results scores."""
+    return max(8 * k, 1000)
+
+
+def lexical_scores(index: Index | DataFrame, queries: DataFrame, *, limit: int | None = None, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """``(query_id, object_id, dataset, motion_id, score)`` of every entry that holds a query token, or of the ``limit`` best.
+
+    BM25 times coverage plus the substring and identity bonuses. Only postings of query tokens leave the scan; entries are
+    joined to scored rows only.
+    """
+    index = index if isinstance(index, Index) else unpublished(index)
+    common = lambda n, df: F.log(1 + (n - df + 0.5) / (df + 0.5))
+    scored = _weighted_hits(index, queries, k1, b, common).where("raw > 0")
+    if limit is not None:
+        scored = scored.join(candidates(index, queries, limit).select("query_id", "object_id"), ["query_id", "object_id"], "left_semi")
+    scored = scored.join(index.entry.select("object_id", "dataset", "motion_id", "search_text"), "object_id")
     q = F.lower("query")
     bonus = (
         F.when(F.lower("search_text").contains(q), 3.0).otherwise(0.0)
@@ -67,7 +88,7 @@ def lexical_scores(entry: DataFrame, queries: DataFrame, posting: DataFrame | No
         + F.when((q == F.lower("motion_id")) | (q == F.lower("dataset")), 1.0).otherwise(0.0)
     )
     score = F.round(F.col("raw") * (0.65 + F.col("matched") / F.col("terms")) + bonus, 6)
-    return scored.where("raw > 0").select("query_id", "object_id", "dataset", "motion_id", score.alias("score"))
+    return scored.select("query_id", "object_id", "dataset", "motion_id", score.alias("score"))
 
 
 def top(scored: DataFrame, k: int, by: Sequence[Column], *, within: Sequence[str] = ("query_id",), rank: str = "rank") -> DataFrame:
@@ -79,11 +100,13 @@ def lexical_top(scored: DataFrame, k: int) -> DataFrame:
     return top(scored, k, [F.desc("score"), F.asc("dataset"), F.asc("motion_id"), F.asc("object_id")])
 
 
-def dense_scores(captions: DataFrame, vectors: dict[str, Sequence[Sequence[float]]], id_cols: Iterable[str] = ("vec_id", "object_id")) -> DataFrame:
+def dense_scores(captions: DataFrame, vectors: dict[str, Sequence[Sequence[float]]], id_cols: Iterable[str] = ("vec_id", "object_id"), *, keep: int | None = None) -> DataFrame:
     """``(query_id, *ids, score)``: dot product with the first vector of a query, or 0.6 of it plus 0.4 of the best clause's.
 
     Vectors of a query are the whole text's and its clauses' after the first. One matrix product a batch of rows;
-    the query matrix is the bounded request batch. Rows without a vector of that length are left out.
+    the query matrix is the bounded request batch. Rows without a vector of that length are left out. With ``keep`` only
+    that many best rows of a batch leave the worker for each query (by score to nine digits, then the first id), as no
+    others can be among the best of all.
     """
     names, start, flat = [], [], []
     for name, own in vectors.items():
@@ -102,9 +125,15 @@ def dense_scores(captions: DataFrame, vectors: dict[str, Sequence[Sequence[float
             if not len(good):
                 continue
             dots = np.stack(good["embedding"].to_numpy()).astype(np.float64) @ matrix.T
+            out = []
             for name, a, z in zip(names, start, ends):
                 s = dots[:, a] if z - a == 1 else 0.6 * dots[:, a] + 0.4 * dots[:, a + 1 : z].max(1)
-                yield pd.DataFrame({"query_id": name, **{c: good[c] for c in ids}, "score": s})
+                rows = good
+                if keep is not None and len(s) > keep:
+                    at = np.lexsort((good[ids[0]].to_numpy(), -np.round(s, 9)))[:keep]
+                    s, rows = s[at], good.iloc[at]
+                out.append(pd.DataFrame({"query_id": name, **{c: rows[c] for c in ids}, "score": s}))
+            yield pd.concat(out)
 
     return captions.where("embedding IS NOT NULL").select(*ids, "embedding").mapInPandas(run, f"query_id string, {kinds}, score double")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 from .functions import lexicon as X
@@ -16,6 +17,10 @@ CASES = tuple((key, said, lang, kind, pattern, forbidden) for key, said, lang, k
     ("q5", "stair climb", "en", "short", "stair", "Stair_Climb"),
 ))
 WS = r"[\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+#: Base address, caption vectors whose objects are looked up, version and leaf prefix of the test tables.
+BASE = "http://motions.test"
+LOOKED_UP = (101, 202, 303)
+VERSION, LEAVES = "2031.2", "action_"
 LIB_FILTERS = {"dataset": "motionxpp", "space": "indoor", "action_category": "ground_travel"}
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -101,6 +106,11 @@ lexical AS (
   FROM raw_score s JOIN entry e ON e.object_id = s.object_id WHERE raw > 0),
 lexical_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset, motion_id, object_id) AS rank FROM lexical)"""
 
+_FTS = """
+fts AS (SELECT t.query_id, p.object_id, round(sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS match
+        FROM query_term t JOIN posting p ON p.token = t.token JOIN dl ON dl.object_id = p.object_id JOIN dfs ON dfs.token = t.token, stat GROUP BY ALL),
+fts_rank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY match DESC, object_id) AS place FROM fts)"""
+
 # dense requests: vectors of stored captions stand for encoded texts (whole text, then clauses)
 DENSE = {"q1": (101,), "q2": (202, 303), "q5": (404, 505, 606)}
 _whole = ", ".join(f"({q(k)}, {v[0]})" for k, v in DENSE.items())
@@ -153,7 +163,7 @@ phrase AS (SELECT DISTINCT node_id, {ttokens('alias')} AS p FROM spoken WHERE al
 body AS (SELECT object_id, {ttokens("concat_ws(' ', dataset, motion_id, description, array_to_string(captions, ' '))")} AS t FROM entry),
 joined AS (SELECT object_id, chr(1) || array_to_string(t, chr(1)) || chr(1) AS t FROM body)"""
 _MATCHED = f"""{_PHRASE},
-latin AS (SELECT object_id, node_id, array_to_string(p, ' ') AS phrase, len(p) AS n FROM joined JOIN phrase ON len(p) BETWEEN 1 AND 8 AND contains(t, chr(1) || array_to_string(p, chr(1)) || chr(1))),
+latin AS (SELECT object_id, node_id, array_to_string(p, ' ') AS phrase, len(p) AS n FROM joined JOIN phrase ON len(p) > 0 AND contains(t, chr(1) || array_to_string(p, chr(1)) || chr(1))),
 zh AS (SELECT DISTINCT node_id, regexp_replace(lower(alias), '[^\\pL\\pN\\pM]+', '', 'g') AS alias FROM (
         SELECT id AS node_id, unnest(list_concat([zh_cn], coalesce(aliases_zh, []))) AS alias FROM taxonomy_node WHERE asset_taxonomy AND kind = 'action') WHERE regexp_matches(alias, '[\\x{{4e00}}-\\x{{9fff}}]')),
 compact AS (SELECT object_id, regexp_replace(lower(s), '[^\\pL\\pN\\pM]+', '', 'g') AS s FROM (SELECT object_id, concat_ws(' ', dataset, motion_id, description, array_to_string(captions, ' ')) AS s FROM entry) WHERE regexp_matches(s, '[\\x{{4e00}}-\\x{{9fff}}]')),
@@ -182,6 +192,112 @@ caption_row AS (
   UNION ALL SELECT record_id, object_id, caption, min(k)::INTEGER, 'caption' FROM cap WHERE {searchable('caption')} GROUP BY record_id, object_id, caption)"""
 
 
+
+def token_sql(source: str, head: str) -> str:
+    """CTEs that give ``<head>_set(key, toks)``, the distinct search tokens of the texts of ``source`` (key, text)."""
+    names = ("raws", "word", "han_hit", "han_walk", "han_done", "spelled", "tok", "posting")
+    body = POSTING[POSTING.index("raws AS") :].replace("FROM entry)", f"FROM {source})").replace("object_id", "key").replace("search_text", "text")
+    for n in names:
+        body = re.sub(rf"\b{n}\b", f"{head}_{n}", body)
+    return body + f",\n{head}_set AS (SELECT key, list(DISTINCT token) AS toks FROM {head}_posting GROUP BY 1)"
+
+
+match_key = lambda x: f"trim(regexp_replace(lower({x}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g'))"
+_KEPT = f"list_filter(list_filter(list_concat([description], captions), lambda t, i: list_position(list_concat([description], captions), t) = i), lambda t: {searchable(clean('t'))})"
+
+
+def rerank_sql(short: str) -> str:
+    """``reranked`` over ``short`` (query_id, query, object_id, base_score)."""
+    return f"""
+short_row AS (SELECT s.query_id, s.query, s.base_score, e.*, left(array_to_string({_KEPT}, ' '), 3000) AS document FROM {short} s JOIN entry e ON e.object_id = s.object_id),
+said AS (SELECT DISTINCT 'q' || query_id AS key, query AS text FROM short_row UNION ALL SELECT DISTINCT 't' || object_id, source_title FROM short_row UNION ALL SELECT DISTINCT 'd' || object_id, document FROM short_row),
+{token_sql('said', 'rr')},
+pair AS (SELECT s.*, coalesce(a.toks, []) AS qt, coalesce(t.toks, []) AS tt, coalesce(d.toks, []) AS dt FROM short_row s LEFT JOIN rr_set a ON a.key = 'q' || s.query_id LEFT JOIN rr_set t ON t.key = 't' || s.object_id LEFT JOIN rr_set d ON d.key = 'd' || s.object_id),
+sides AS (SELECT *, 4.0::DOUBLE * len(list_intersect(qt, tt)) / greatest(len(qt), 1) - 2 AS by_title, 4.0::DOUBLE * len(list_intersect(qt, dt)) / greatest(len(qt), 1) - 2 AS caption_score,
+            {match_key('query')} IN ({match_key('motion_id')}, {match_key('source_title')}) AS exact FROM pair),
+reranked AS (SELECT *, CASE WHEN source_title <> '' THEN by_title END AS title_score,
+               CASE WHEN source_title <> '' THEN greatest(by_title, least(caption_score, by_title + 1)) ELSE caption_score END + CASE WHEN exact THEN 100 ELSE 0 END + least(base_score, 1) * 0.01::DOUBLE AS reranker_score FROM sides)"""
+
+
+def diversify_sql(source: str) -> str:
+    """``placed`` (query_id, object_id, place) over ``source`` (query_id, object_id, score, motion_id, series_key, source_title, description)."""
+    return f"""
+about AS (SELECT DISTINCT object_id AS key, CASE WHEN source_title <> '' THEN source_title ELSE description END AS text FROM {source}),
+{token_sql('about', 'dv')},
+item AS (SELECT s.query_id, s.object_id, s.score, s.motion_id, s.series_key, coalesce(t.toks, []) AS w, min(score) OVER (PARTITION BY query_id) AS low, max(score) OVER (PARTITION BY query_id) AS high FROM {source} s LEFT JOIN dv_set t ON t.key = s.object_id),
+alike AS (SELECT a.query_id, a.object_id, map(list(b.object_id), list(CASE WHEN a.series_key <> '' AND a.series_key = b.series_key THEN 1 WHEN len(list_distinct(list_concat(a.w, b.w))) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) END)) AS sims
+          FROM item a JOIN item b ON a.query_id = b.query_id GROUP BY ALL),
+worth AS (SELECT i.query_id, i.object_id, i.score, i.motion_id, (i.score - low) / greatest(high - low, 1e-6) AS norm, sims FROM item i JOIN alike a ON a.query_id = i.query_id AND a.object_id = i.object_id),
+pick(query_id, k, acc) AS (
+  SELECT DISTINCT query_id, 0, []::VARCHAR[] FROM worth
+  UNION ALL
+  SELECT query_id, max(k) + 1, list_append(any_value(acc), arg_max(object_id, {{'w': net, 's': score, 'm': motion_id}}))
+  FROM (SELECT p.query_id, p.k, p.acc, w.object_id, w.score, w.motion_id, w.norm - least(0.75::DOUBLE, 0.15::DOUBLE * coalesce(list_sum(list_transform(p.acc, lambda c: w.sims[c])), 0)) AS net
+        FROM pick p JOIN worth w ON w.query_id = p.query_id AND NOT list_contains(p.acc, w.object_id)) GROUP BY query_id),
+placed AS (SELECT query_id, unnest(acc) AS object_id, generate_subscripts(acc, 1) AS place FROM (SELECT query_id, arg_max(acc, k) AS acc FROM pick GROUP BY 1))"""
+
+
+def page_sql(ranked: str, query: str, k: int) -> str:
+    """One page of a reranked and diversified search over ``ranked`` (object_id, dataset, motion_id, score, rank)."""
+    return f"""
+head0 AS (SELECT 'q' AS query_id, {q(query)} AS query, object_id, score AS base_score FROM {ranked} WHERE rank <= 20),
+{rerank_sql('head0')},
+headed AS (SELECT query_id, object_id, reranker_score AS score, motion_id, series_key, source_title, description FROM reranked),
+{diversify_sql('headed')},
+merged AS (SELECT r.object_id, r.dataset, r.motion_id, coalesce(h.score, r.score) AS score, p.place FROM {ranked} r LEFT JOIN headed h ON h.object_id = r.object_id LEFT JOIN placed p ON p.object_id = r.object_id),
+turned AS (SELECT *, row_number() OVER (ORDER BY coalesce(place, 20), score DESC, dataset, motion_id, object_id) AS position, max(score) OVER () AS best FROM merged)
+SELECT object_id, dataset, motion_id, round(score, 6) AS score, coalesce(round(score / nullif(best, 0), 6), 0) AS pooled_score, position::INTEGER AS position FROM turned WHERE position <= {k}"""
+
+
+_SHORT = f"short AS (SELECT l.query_id, v.query, l.object_id, l.score AS base_score FROM lexical_rank l JOIN (VALUES {', '.join(f'({q(a)}, {q(b)})' for a, b in QUERIES)}) v(query_id, query) ON v.query_id = l.query_id WHERE rank <= 20)"
+_SHORT_ROWS = "shorted AS (SELECT l.query_id, l.object_id, l.score, e.motion_id, e.series_key, e.source_title, e.description FROM lexical_rank l JOIN entry e ON e.object_id = l.object_id WHERE l.rank <= 20)"
+_AXES = f"""
+axis_root AS (SELECT node_id, arg_max(ancestor_id, distance) AS root_id FROM up GROUP BY 1),
+axis0 AS (SELECT node_id, coalesce(legacy_category, 'special_actions') AS category, coalesce(legacy_tag, 'other') AS tag FROM axis_root JOIN taxonomy_node n ON n.id = root_id),
+axis AS (SELECT node_id, category, tag, CASE WHEN tag = 'medical_care' THEN 'assist_care' {' '.join(f'WHEN category = {q(a)} THEN {q(b)}' for a, b in X.DOMAIN_OF_CATEGORY.items())} ELSE 'other' END AS domain FROM axis0),
+label_path AS (SELECT node_id, list(n.zh_cn ORDER BY distance DESC) AS path FROM up JOIN taxonomy_node n ON n.id = up.ancestor_id GROUP BY 1)"""
+_SPECIFIC = f"""
+kin AS (SELECT node_id, list(ancestor_id) AS a FROM up GROUP BY 1),
+hit AS (SELECT m.object_id, m.node_id, m.length, m.matched, k.a, row_number() OVER (PARTITION BY m.object_id ORDER BY coalesce(n.priority, 50) DESC, m.length DESC, m.node_id) AS i FROM match m JOIN taxonomy_node n ON n.id = m.node_id JOIN kin k ON k.node_id = m.node_id),
+walk(object_id, i, acc, over) AS (
+  SELECT DISTINCT object_id, 0::BIGINT, []::VARCHAR[], []::VARCHAR[] FROM hit
+  UNION ALL
+  SELECT w.object_id, h.i, CASE WHEN list_contains(w.over, h.node_id) OR list_has_any(h.a, w.acc) THEN w.acc ELSE list_append(w.acc, h.node_id) END,
+         CASE WHEN list_contains(w.over, h.node_id) OR list_has_any(h.a, w.acc) THEN w.over ELSE list_concat(w.over, h.a) END
+  FROM walk w JOIN hit h ON h.object_id = w.object_id AND h.i = w.i + 1),
+picked AS (SELECT object_id, list_slice(arg_max(acc, i), 1, 8) AS ids FROM walk GROUP BY 1)"""
+_SPACE = f"""
+space_body AS (SELECT object_id, {ttokens("concat_ws(' ', dataset, motion_id, description, array_to_string(captions, ' '))")} AS t FROM entry),
+space_key AS (SELECT object_id, list_has_any(t, [{', '.join(map(q, X.INDOOR))}]) AS i, list_has_any(t, [{', '.join(map(q, X.OUTDOOR))}]) AS o FROM space_body),
+space_of AS (SELECT object_id, CASE WHEN i AND NOT o THEN 'indoor' WHEN o AND NOT i THEN 'outdoor' ELSE 'mixed_or_unspecified' END AS space FROM space_key)"""
+_PARTICIPANTS = "CASE WHEN e.dataset IN ('interhuman', 'interx') THEN 'pair' WHEN e.dataset IN ('motionxpp', 'motionlab') THEN 'single' ELSE 'group_or_unknown' END"
+_PROTO = f"""{FORCE},{CLOSURE},
+root AS (SELECT node_id, arg_max(ancestor_id, distance) AS root_id FROM up GROUP BY 1),
+emb AS (SELECT vec_id, object_id, embedding::DOUBLE[] AS v FROM semantic_index WHERE embedding IS NOT NULL AND len(embedding) > 0 AND object_id IS NOT NULL),
+label AS (SELECT n.id AS node_id, n.parent_id, r.root_id FROM taxonomy_node n JOIN root r ON r.node_id = n.id WHERE asset_taxonomy AND NOT coalesce(legacy_only, false) AND kind = 'action'),
+x AS (SELECT l.*, unnest(v) AS val, generate_subscripts(v, 1) AS k FROM emb JOIN force f ON f.object_id = emb.object_id JOIN label l ON l.node_id = f.classification.primary_action_node_id),
+leaf AS (SELECT node_id, list(m ORDER BY k) AS v FROM (SELECT node_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+grp AS (SELECT parent_id, list(m ORDER BY k) AS v FROM (SELECT parent_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+major AS (SELECT root_id, list(m ORDER BY k) AS v FROM (SELECT root_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
+proto AS (SELECT l.node_id, a.v AS lv, b.v AS gv, c.v AS mv FROM label l JOIN leaf a ON a.node_id = l.node_id JOIN grp b ON b.parent_id = l.parent_id JOIN major c ON c.root_id = l.root_id),
+ruled AS (SELECT DISTINCT object_id, n.id AS node_id FROM (SELECT object_id, unnest(classification.action_nodes) AS n FROM force)),
+s AS (SELECT e.object_id, e.vec_id, p.node_id, round(0.7::DOUBLE * list_dot_product(e.v, lv) + 0.2::DOUBLE * list_dot_product(e.v, gv) + 0.1::DOUBLE * list_dot_product(e.v, mv) + CASE WHEN r.node_id IS NOT NULL THEN 0.015::DOUBLE ELSE 0 END, 6) AS score, round(list_dot_product(e.v, lv), 6) AS leaf_score
+      FROM emb e CROSS JOIN proto p LEFT JOIN ruled r ON r.object_id = e.object_id AND r.node_id = p.node_id),
+five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, node_id) AS turn FROM s) WHERE turn <= 5),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, node_id ORDER BY score DESC, vec_id) AS nth FROM five) WHERE nth = 1),
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, node_id) AS rank FROM best) WHERE rank <= 5)"""
+_TOP = f"""{_PROTO},
+expected AS (SELECT f.object_id, list_sort(list_distinct(list_filter(list_transform(coalesce(classification.action_nodes, []), lambda n: n.id), lambda i: starts_with(i, '{LEAVES}')))) AS leaves FROM force f),
+top AS (SELECT c.object_id, min(CASE WHEN rank = 1 THEN c.node_id END) AS node_id, max(CASE WHEN rank = 1 THEN score END) AS score, round(max(CASE WHEN rank = 1 THEN score END) - max(CASE WHEN rank = 2 THEN score END), 6) AS margin,
+          max(CASE WHEN rank = 1 THEN vec_id END) AS vec_id, array_to_string(list(c.node_id ORDER BY rank), '|') AS every FROM cand c GROUP BY 1 HAVING count(*) > 1),
+judged AS (SELECT t.*, coalesce(e.leaves, []) AS expected, len(coalesce(e.leaves, [])) > 0 AND NOT list_contains(coalesce(e.leaves, []), t.node_id) AS rule_conflict FROM top t LEFT JOIN expected e ON e.object_id = t.object_id),
+cut AS (SELECT round(quantile_cont(score, 0.75), 6) AS hs, round(quantile_cont(margin, 0.75), 6) AS hm, round(quantile_cont(score, 0.25), 6) AS ms, round(quantile_cont(margin, 0.25), 6) AS mm FROM judged),
+level AS (SELECT s.*, CASE WHEN score >= hs AND margin >= hm THEN 'high' WHEN score >= ms AND margin >= mm THEN 'medium' ELSE 'low' END AS level FROM judged s, cut)"""
+
+
+_glb = "CASE WHEN regexp_extract(motion_id, '([^/]+)/*$', 1) <> '' THEN regexp_extract(motion_id, '([^/]+)/*$', 1) ELSE object_id END || '.glb'"
+
+
 def statements() -> dict[str, str]:
     e = f"WITH {ENTRY}"
     fused = f"""WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{DENSE_SQL},
@@ -199,6 +315,8 @@ fused AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.object
         "idf_table": f"WITH RECURSIVE {ENTRY},{POSTING}, n AS (SELECT count(*) AS n FROM entry) SELECT token, count(*) AS df, round(ln(1 + (max(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM posting, n GROUP BY token",
         "bm25_search": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL} SELECT query_id, object_id, dataset, motion_id, score, rank::INTEGER AS rank FROM lexical_rank WHERE rank <= 50",
         "fts_candidates": f"WITH RECURSIVE {ENTRY},{POSTING},{query_values()} SELECT DISTINCT query_id, object_id FROM query_term t JOIN posting p ON p.token = t.token",
+        "fts_limited": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_FTS} SELECT query_id, object_id, match FROM fts_rank WHERE place <= 40",
+        "limited_search": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_FTS}, few AS (SELECT l.* EXCLUDE (rank), row_number() OVER (PARTITION BY l.query_id ORDER BY score DESC, dataset, motion_id, l.object_id) AS rank FROM lexical_rank l JOIN fts_rank f ON f.query_id = l.query_id AND f.object_id = l.object_id AND f.place <= 100) SELECT query_id, object_id, dataset, motion_id, score, rank::INTEGER AS rank FROM few WHERE rank <= 10",
         "entries_page": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL}, s AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM lexical), f AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS total, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset, motion_id, object_id) AS place FROM s WHERE dataset = 'motionxpp') SELECT query_id, object_id, score, coalesce(round(score / nullif(best, 0), 6), 0) AS pooled_score, total, place::INTEGER AS place FROM f WHERE place BETWEEN 21 AND 40",
         "dataset_summary": f"{e} SELECT dataset, count(*) AS n FROM entry GROUP BY 1",
         "sort_frame_count_desc": f"{e} SELECT object_id, dataset, motion_id, frame_count FROM entry ORDER BY coalesce(frame_count, 0) DESC, dataset, motion_id, object_id LIMIT 20 OFFSET 40",
@@ -210,7 +328,7 @@ fused AS (SELECT coalesce(l.query_id, d.query_id) AS query_id, coalesce(l.object
         "dense_topk": f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(score, 6) AS score, rank::INTEGER AS rank FROM dense_rank WHERE rank <= 50",
         "best_caption_per_object": f"WITH {DENSE_SQL} SELECT query_id, object_id, rank::INTEGER AS rank, round(score, 6) AS score FROM dense_best",
         "full_outer_fusion": f"{fused} SELECT query_id, f.object_id, round(fused, 9) AS fused FROM fused f JOIN entry e ON e.object_id = f.object_id",
-        "running_weight": "SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS cumulative FROM orders",
+        "running_weight": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL} SELECT query_id, object_id, round(sum(exp(score / 10.0::DOUBLE)) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING), 4) AS cumulative FROM lexical_rank WHERE rank <= 50",
         "hierarchy_closure": f"WITH RECURSIVE {CLOSURE} SELECT node_id, ancestor_id, distance FROM up",
         "hierarchy_roots": f"WITH RECURSIVE {CLOSURE} SELECT node_id, arg_max(ancestor_id, distance) AS root_id, max(distance) + 1 AS depth FROM up GROUP BY 1",
         "hierarchy_path": f"WITH RECURSIVE {CLOSURE} SELECT node_id, array_to_string(list(n.zh_cn ORDER BY distance DESC), ' > ') AS path FROM up JOIN taxonomy_node n ON n.id = up.ancestor_id GROUP BY 1",
@@ -247,11 +365,12 @@ SELECT id AS node_id, '动作分类：' || array_to_string(path, ' > ') || '。
         "preview_roll": """WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), a AS (SELECT *, sqrt(x * x + y * y + z * z) AS g FROM v),
 r AS (SELECT vec_id, -degrees(atan2(CASE WHEN g < 1e-8 THEN 0 ELSE -z / g * sin(g) + x / g * (y / g) * (1 - cos(g)) END, CASE WHEN g < 1e-8 THEN 0 ELSE x / g * sin(g) + z / g * (y / g) * (1 - cos(g)) END)) AS roll FROM a)
 SELECT vec_id, CASE WHEN abs(roll) < 8 THEN 0 ELSE round(roll, 2) END AS roll FROM r""",
-        "page_audit": f"{e} SELECT CASE WHEN cache_glb IS NULL THEN 'missing' WHEN cache_glb = '' THEN 'empty' WHEN cache_glb NOT LIKE '%.glb' THEN 'invalid_format' WHEN frame_count IS NULL THEN 'blank' ELSE 'ok' END AS issue, count(*) AS n FROM entry GROUP BY 1",
+        "page_audit": f"{e}, b AS (SELECT ('0x' || left(md5(object_id), 4))::INTEGER AS h FROM entry) SELECT CASE WHEN h % 5 = 0 THEN 'missing' WHEN h % 5 = 1 THEN 'empty' WHEN h % 5 = 2 THEN 'invalid_format' WHEN h % 2 = 0 THEN 'ok' ELSE 'wrong_dimensions' END AS issue, count(*) AS n FROM b GROUP BY 1",
+        "preview_resolve": f"{e}, b AS (SELECT *, ('0x' || left(md5(object_id), 4))::INTEGER AS h FROM entry) SELECT object_id, CASE WHEN h % 40 >= 16 AND h % 3 < 2 THEN '/previews/' || dataset || '/' || motion_id || CASE WHEN h % 3 = 0 THEN '.webp' ELSE '.png' END END AS preview_path FROM b",
         "shard_assign": "SELECT record_id FROM (SELECT record_id, row_number() OVER (ORDER BY dataset NULLS FIRST, motion_id NULLS FIRST, record_id) - 1 AS i FROM motion_index) WHERE i % 7 = 2",
-        "union_builders": "SELECT c_name AS name, c_nationkey AS nation, 'customer' AS builder FROM customer UNION ALL SELECT s_name, s_nationkey, 'supplier' FROM supplier",
-        "set_difference": "SELECT n_nationkey AS nation FROM nation EXCEPT SELECT s_nationkey FROM supplier",
-        "set_intersection": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+        "union_builders": "WITH r AS (SELECT lower(trim(dataset)) AS dataset, coalesce(motion_id, '') AS motion_id, coalesce(source_motion, '') AS path, captions FROM motion_index) SELECT dataset, motion_id, sha256(dataset || ':' || motion_id || ':' || path) AS object_id, captions[1] AS description FROM r WHERE dataset IN ('interhuman', 'interx', 'motionxpp', 'motionlab')",
+        "set_difference": f"WITH {FORCE} SELECT object_id FROM semantic_index WHERE object_id IS NOT NULL EXCEPT SELECT object_id FROM force WHERE classification IS NOT NULL",
+        "set_intersection": f"{e} SELECT object_id FROM semantic_index WHERE object_id IS NOT NULL INTERSECT SELECT object_id FROM entry WHERE dataset = 'interx'",
         "alias_sets": "SELECT id, array_to_string(list_sort(list_distinct(list_concat(coalesce(aliases_en, []), coalesce(aliases_zh, [])))), '|') AS aliases FROM taxonomy_node",
         "label_fallthrough": f"WITH {FORCE} SELECT object_id, coalesce(classification.taxonomy_labels['action_category'], classification.taxonomy['action_category']) AS label, coalesce(classification.taxonomy_labels['action_tag'], classification.taxonomy['action_tag']) AS tag_label FROM force WHERE classification IS NOT NULL",
         "serialize_entries": f"{e} SELECT object_id, '/api/v1/models/' || object_id AS rest_download_path, CASE WHEN regexp_extract(motion_id, '([^/]+)$', 1) <> '' THEN regexp_extract(motion_id, '([^/]+)$', 1) ELSE object_id END || '.glb' AS filename, '/api/v1/previews/' || object_id || '.webp' AS preview_path FROM entry",
@@ -261,19 +380,65 @@ SELECT query_id, object_id, place::INTEGER AS place FROM (SELECT query_id, objec
         "tag_texts": f"SELECT record_id, array_to_string({ttokens("concat_ws(' ', dataset, motion_id, description)")}, '|') AS tokens, {series("coalesce(dataset, '')", "coalesce(motion_id, '')")} AS series_key, {squeeze("regexp_replace(regexp_replace(replace(coalesce(motion_id, ''), '_', ' '), '\\s+([.,:;])', '\\1', 'g'), '([-/])', ' \\1 ', 'g')")} AS readable FROM motion_index",
         "library_page": f"WITH RECURSIVE {LIBRARY} SELECT object_id, dataset, motion_id, frame_count FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false) ORDER BY dataset, motion_id, object_id LIMIT 20 OFFSET 20",
         "library_total": f"WITH RECURSIVE {LIBRARY} SELECT count(*) AS total FROM lib WHERE dataset = 'motionxpp' AND coalesce(space = 'indoor', false) AND coalesce(action_category = 'ground_travel', false)",
-        "prototype_classify": f"""WITH RECURSIVE {FORCE},{CLOSURE},
-root AS (SELECT node_id, arg_max(ancestor_id, distance) AS root_id FROM up GROUP BY 1),
-emb AS (SELECT vec_id, object_id, embedding::DOUBLE[] AS v FROM semantic_index WHERE embedding IS NOT NULL AND len(embedding) > 0 AND object_id IS NOT NULL),
-label AS (SELECT n.id AS node_id, n.parent_id, r.root_id FROM taxonomy_node n JOIN root r ON r.node_id = n.id WHERE asset_taxonomy AND NOT coalesce(legacy_only, false) AND kind = 'action'),
-x AS (SELECT l.*, unnest(v) AS val, generate_subscripts(v, 1) AS k FROM emb JOIN force f ON f.object_id = emb.object_id JOIN label l ON l.node_id = f.classification.primary_action_node_id),
-leaf AS (SELECT node_id, list(m ORDER BY k) AS v FROM (SELECT node_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
-grp AS (SELECT parent_id, list(m ORDER BY k) AS v FROM (SELECT parent_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
-major AS (SELECT root_id, list(m ORDER BY k) AS v FROM (SELECT root_id, k, avg(val) AS m FROM x GROUP BY ALL) GROUP BY 1),
-proto AS (SELECT l.node_id, a.v AS lv, b.v AS gv, c.v AS mv FROM label l JOIN leaf a ON a.node_id = l.node_id JOIN grp b ON b.parent_id = l.parent_id JOIN major c ON c.root_id = l.root_id),
-ruled AS (SELECT DISTINCT object_id, n.id AS node_id FROM (SELECT object_id, unnest(classification.action_nodes) AS n FROM force)),
-s AS (SELECT e.object_id, e.vec_id, p.node_id, round(0.7::DOUBLE * list_dot_product(e.v, lv) + 0.2::DOUBLE * list_dot_product(e.v, gv) + 0.1::DOUBLE * list_dot_product(e.v, mv) + CASE WHEN r.node_id IS NOT NULL THEN 0.015::DOUBLE ELSE 0 END, 6) AS score, round(list_dot_product(e.v, lv), 6) AS leaf_score
-      FROM emb e CROSS JOIN proto p LEFT JOIN ruled r ON r.object_id = e.object_id AND r.node_id = p.node_id),
-five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, node_id) AS turn FROM s) WHERE turn <= 5),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id, node_id ORDER BY score DESC, vec_id) AS nth FROM five) WHERE nth = 1)
-SELECT object_id, rank::INTEGER AS rank, node_id, score, leaf_score, vec_id AS matched_vec FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY score DESC, node_id) AS rank FROM best) WHERE rank <= 5""",
+        "prototype_classify": f"WITH RECURSIVE {_PROTO} SELECT object_id, rank::INTEGER AS rank, node_id, score, leaf_score, vec_id AS matched_vec FROM cand",
+        "rerank_combine": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_SHORT},{rerank_sql('short')} SELECT query_id, object_id, round(title_score, 6) AS title_score, round(caption_score, 6) AS caption_score, exact AS exact_source_match, round(reranker_score, 6) AS reranker_score FROM reranked",
+        "diversify_mmr": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_SHORT_ROWS},{diversify_sql('shorted')} SELECT query_id, object_id, place::INTEGER AS place FROM placed",
+        "library_rerank_merge": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_SHORT_ROWS},{diversify_sql('shorted')}, turn AS (SELECT l.query_id, l.object_id, row_number() OVER (PARTITION BY l.query_id ORDER BY coalesce(place, 20), score DESC, dataset, motion_id, l.object_id) AS position FROM lexical_rank l LEFT JOIN placed p ON p.query_id = l.query_id AND p.object_id = l.object_id WHERE rank <= 300) SELECT query_id, object_id, position::INTEGER AS position FROM turn WHERE position <= 40",
+        "search_page": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_FTS}, ranked AS (SELECT * FROM (SELECT l.object_id, dataset, motion_id, score, row_number() OVER (ORDER BY score DESC, dataset, motion_id, l.object_id) AS rank FROM lexical_rank l JOIN fts_rank f ON f.query_id = l.query_id AND f.object_id = l.object_id AND place <= 1600 WHERE l.query_id = 'q2') WHERE rank <= 200),{page_sql('ranked', dict(QUERIES)['q2'], 20)}",
+        "search_hybrid_page": f"""WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL},{_FTS},
+lex AS (SELECT * FROM (SELECT l.object_id, score, row_number() OVER (ORDER BY score DESC, dataset, motion_id, l.object_id) AS rank FROM lexical_rank l JOIN fts_rank f ON f.query_id = l.query_id AND f.object_id = l.object_id AND place <= 1600 WHERE l.query_id = 'q4') WHERE rank <= 200),
+vec AS (SELECT vec_id, object_id, embedding::DOUBLE[] AS v FROM semantic_index WHERE embedding IS NOT NULL AND len(embedding) = 64),
+near AS (SELECT x.vec_id, x.object_id, 0.6::DOUBLE * list_dot_product(a.v, x.v) + 0.4::DOUBLE * list_dot_product(b.v, x.v) AS score FROM vec x, (SELECT v FROM vec WHERE vec_id = 202) a, (SELECT v FROM vec WHERE vec_id = 303) b WHERE x.object_id IS NOT NULL),
+den AS (SELECT object_id, min(rank) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) AS rank FROM near) WHERE rank <= 800 GROUP BY 1),
+mixed AS (SELECT coalesce(l.object_id, d.object_id) AS object_id, coalesce(0.45::DOUBLE / (60 + l.rank), 0) + coalesce(0.55::DOUBLE / (60 + d.rank), 0) AS score FROM lex l FULL JOIN den d ON d.object_id = l.object_id),
+ranked AS (SELECT * FROM (SELECT m.object_id, dataset, motion_id, score, row_number() OVER (ORDER BY score DESC, dataset, motion_id, m.object_id) AS rank FROM mixed m JOIN entry e ON e.object_id = m.object_id) WHERE rank <= 200),{page_sql('ranked', dict(QUERIES)['q4'], 20)}""",
+        "catalog_flatten": """WITH tag AS (SELECT DISTINCT m.zh_cn AS m, g.zh_cn AS g, t.zh_cn AS t, m.id AS mi, g.id AS gi, t.id AS ti FROM taxonomy_node m JOIN taxonomy_node g ON g.parent_id = m.id AND g.kind = 'tag_group' JOIN taxonomy_node t ON t.parent_id = g.id AND t.kind = 'action' WHERE m.kind = 'major')
+SELECT 'asset_major_' || left(sha1(m), 12) AS id, NULL::VARCHAR AS parent_id, 'domain' AS kind, m AS zh_cn, 20 AS priority FROM (SELECT DISTINCT m, mi FROM tag)
+UNION ALL SELECT 'asset_group_' || left(sha1(m || chr(31) || g), 12), 'asset_major_' || left(sha1(m), 12), 'category', g, 30 FROM (SELECT DISTINCT m, g, gi FROM tag)
+UNION ALL SELECT 'asset_tag_' || left(sha1(m || chr(31) || g || chr(31) || t), 12), 'asset_group_' || left(sha1(m || chr(31) || g), 12), 'action', t, 40 FROM tag""",
+        "specificity_select": f"WITH RECURSIVE {ENTRY},{_MATCHED},{CLOSURE},{_SPECIFIC} SELECT object_id, ids AS node_ids FROM picked",
+        "rule_classification": f"""WITH RECURSIVE {ENTRY},{_MATCHED},{CLOSURE},{_SPECIFIC},{_AXES},{_SPACE}
+SELECT e.object_id, p.ids[1] AS primary_action_node_id, coalesce(p.ids, []) AS node_ids, coalesce(a.category, 'special_actions') AS action_category, coalesce(a.tag, 'other') AS action_tag, coalesce(a.domain, 'other') AS activity_domain,
+       {_PARTICIPANTS} AS participants, s.space, round(least(1, 0.45::DOUBLE + 0.12::DOUBLE * len(coalesce(p.ids, [])) + CASE WHEN h.length > 1 THEN 0.12::DOUBLE ELSE 0 END), 3) AS classification_confidence
+FROM entry e LEFT JOIN picked p ON p.object_id = e.object_id LEFT JOIN axis a ON a.node_id = p.ids[1] LEFT JOIN hit h ON h.object_id = e.object_id AND h.node_id = p.ids[1] JOIN space_of s ON s.object_id = e.object_id""",
+        "rule_records": f"""WITH RECURSIVE {ENTRY},{_MATCHED},{CLOSURE},{_SPECIFIC},{_AXES},
+one AS (SELECT object_id, unnest(ids) AS node_id, generate_subscripts(ids, 1) AS pos FROM picked),
+told AS (SELECT o.object_id, array_to_string(list(CASE WHEN pos = 1 THEN 'primary' ELSE 'secondary' END || '/' || o.node_id || '/' || array_to_string(path, '>') || '/' || replace(h.matched, '|', '+') ORDER BY pos), '|') AS nodes, max(CASE WHEN pos = 1 THEN replace(h.matched, '|', '+') END) AS tag, max(CASE WHEN pos = 1 THEN h.length END) AS length, count(*) AS n
+         FROM one o JOIN label_path p ON p.node_id = o.node_id JOIN hit h ON h.object_id = o.object_id AND h.node_id = o.node_id GROUP BY 1)
+SELECT e.object_id, coalesce(nodes, '') AS nodes, coalesce(tag, '') AS tag_keywords, CASE WHEN {_PARTICIPANTS} IN ('single', 'pair') THEN e.dataset ELSE '' END AS participant_keywords,
+       round(least(1, 0.45::DOUBLE + 0.12::DOUBLE * coalesce(n, 0) + CASE WHEN length > 1 THEN 0.12::DOUBLE ELSE 0 END), 3) AS confidence FROM entry e LEFT JOIN told t ON t.object_id = e.object_id""",
+        "reused_classification": f"WITH {ENTRY},{FORCE} SELECT e.object_id, coalesce(f.classification.taxonomy_version = '{VERSION}', false) AS cached, {_PARTICIPANTS} AS participants, CASE WHEN f.classification.taxonomy_version = '{VERSION}' THEN f.classification.primary_action_node_id END AS cached_node FROM entry e LEFT JOIN force f ON f.object_id = e.object_id",
+        "rule_leaf_ids": f"WITH {FORCE} SELECT object_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce(classification.action_nodes, []), lambda n: n.id), lambda i: starts_with(i, '{LEAVES}')))), '|') AS leaves FROM force",
+        "margins": f"WITH RECURSIVE {_TOP} SELECT object_id, node_id, score, margin FROM judged",
+        "rule_conflicts": f"WITH RECURSIVE {_TOP} SELECT object_id, node_id, array_to_string(expected, '|') AS expected, rule_conflict FROM judged",
+        "semantic_levels": f"WITH RECURSIVE {_TOP} SELECT object_id, level FROM level",
+        "semantic_review": f"WITH RECURSIVE {_TOP}, r AS (SELECT object_id, list_filter([CASE WHEN level = 'low' THEN 'low_confidence' END, CASE WHEN rule_conflict THEN 'rule_model_conflict' END, CASE WHEN row_number() OVER (PARTITION BY level ORDER BY object_id) <= 100 THEN level || '_confidence_audit_sample' END], lambda x: x IS NOT NULL) AS reasons FROM level) SELECT object_id, reasons[1] AS reason, array_to_string(reasons, ',') AS reasons FROM r WHERE len(reasons) > 0",
+        "apply_semantic": f"""WITH RECURSIVE {ENTRY},{_TOP},{_AXES},{_SPACE}
+SELECT e.object_id, l.node_id, a.category AS action_category, a.tag AS action_tag, a.domain AS activity_domain, {_PARTICIPANTS} AS participants, s.space, array_to_string(p.path, ' > ') AS path, round(l.score, 3) AS confidence, l.margin, l.every AS candidates, l.level || '_confidence' AS status, coalesce(c.caption, '') AS matched_caption
+FROM entry e JOIN level l ON l.object_id = e.object_id JOIN axis a ON a.node_id = l.node_id JOIN label_path p ON p.node_id = l.node_id JOIN space_of s ON s.object_id = e.object_id JOIN semantic_index c ON c.vec_id = l.vec_id WHERE starts_with(l.node_id, '{LEAVES}')""",
+        "assignment_summary": f"""WITH {ENTRY},{FORCE}, c AS (SELECT count(*) AS n, count(f.classification.primary_action_node_id) AS k, count(DISTINCT f.classification.primary_action_node_id) AS u, count(*) FILTER (WHERE f.classification.rule_conflict) AS x FROM entry e LEFT JOIN force f ON f.object_id = e.object_id),
+l AS (SELECT count(DISTINCT id) AS m FROM taxonomy_node WHERE asset_taxonomy AND NOT coalesce(legacy_only, false) AND kind = 'action')
+SELECT unnest(['entry_count', 'classified_count', 'unclassified_count', 'unclassified_rate', 'leaf_label_count', 'used_leaf_label_count', 'empty_leaf_label_count', 'leaf_coverage_rate', 'rule_conflict_count']) AS measure,
+       unnest([n::DOUBLE, k, n - k, round((n - k) / greatest(n, 1)::DOUBLE, 6), m, u, m - u, round(k / greatest(n, 1)::DOUBLE, 6), x]) AS value FROM c, l""",
+        "ordered_counts": f"""WITH {ENTRY},{FORCE}, r AS (SELECT f.classification AS c FROM entry e JOIN force f ON f.object_id = e.object_id WHERE f.classification IS NOT NULL),
+v AS (SELECT 'primary_node' AS dimension, c.primary_action_node_id AS value FROM r UNION ALL SELECT 'any_node', unnest(list_transform(c.action_nodes, lambda n: n.id)) FROM r UNION ALL SELECT 'tag', c.taxonomy['action_tag'] FROM r),
+k AS (SELECT dimension, value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL)
+SELECT dimension, value, n, place::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value) AS place FROM k) WHERE place <= 25""",
+        "entry_lookup": f"{e} SELECT object_id, dataset, motion_id, description FROM entry WHERE object_id IN (SELECT object_id FROM semantic_index WHERE vec_id IN {LOOKED_UP})",
+        "entry_full": f"{e} SELECT object_id, dataset AS animal, motion_id AS track_name, source_motion AS source_glb, '{BASE}/api/v1/previews/' || object_id || '.webp' AS preview_url, false AS available, '{BASE}/api/v1/entries/' || object_id AS self, '/models/' || object_id AS download_path, {_glb} AS filename, false AS has_icon FROM entry WHERE object_id IN (SELECT object_id FROM semantic_index WHERE vec_id IN {LOOKED_UP})",
+        "entry_compact": f"{e} SELECT object_id, len(captions)::INTEGER AS n_captions, '/api/v1/previews/' || object_id || '.webp' AS preview_path, '/api/v1/models/' || object_id AS model_path, {_glb} AS filename, true AS lazy FROM entry",
+        "search_items": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL}, t AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM lexical_rank WHERE rank <= 10) SELECT t.object_id, t.rank::INTEGER AS rank, t.score, CASE WHEN best <> 0 THEN round(t.score / best, 6) ELSE 0 END AS pooled_score, e.frame_count, '{BASE}/api/v1/models/' || t.object_id AS url, {_glb.replace('motion_id', 'e.motion_id').replace('object_id', 'e.object_id')} AS filename, 'model/gltf-binary' AS content_type, '{BASE}/api/v1/previews/' || t.object_id || '.webp' AS preview_url, '/api/v1/models/' || t.object_id AS model_path FROM t JOIN entry e ON e.object_id = t.object_id",
+        "response_rows": f"WITH RECURSIVE {ENTRY},{POSTING},{LEXICAL} SELECT object_id, rank::INTEGER AS rank, '{BASE}/api/v1/models/' || object_id AS url FROM lexical_rank WHERE rank <= 5",
+        "search_texts": f"""WITH RECURSIVE said0 AS (SELECT record_id, unnest(captions) AS c FROM motion_index), hans AS (SELECT row_number() OVER () AS i, record_id, c FROM said0 WHERE regexp_matches(c, '[\\x{{4e00}}-\\x{{9fff}}]')),
+alias(said, mapped) AS (VALUES {_alias}), han(alias, i, toks) AS (VALUES {_han}),
+parts AS (SELECT i, unnest(regexp_extract_all(lower(c), '[A-Za-z0-9\\x{{4e00}}-\\x{{9fff}}]+')) AS raw, generate_subscripts(regexp_extract_all(lower(c), '[A-Za-z0-9\\x{{4e00}}-\\x{{9fff}}]+'), 1) AS at FROM hans),
+word AS (SELECT r.raw, mapped, {_stem} AS stem FROM (SELECT DISTINCT raw FROM parts) r LEFT JOIN alias a ON a.said = r.raw),
+han_hit AS (SELECT w.raw, strpos(w.raw, h.alias) AS a, strpos(w.raw, h.alias) + length(h.alias) AS b, h.toks, row_number() OVER (PARTITION BY w.raw ORDER BY h.i) AS i FROM word w JOIN han h ON contains(w.raw, h.alias) WHERE w.mapped IS NULL AND w.stem = w.raw),
+han_walk(raw, i, spans, toks) AS (SELECT DISTINCT raw, 0::BIGINT, []::STRUCT(a BIGINT, b BIGINT)[], []::VARCHAR[] FROM han_hit UNION ALL
+  SELECT w.raw, h.i, CASE WHEN len(list_filter(w.spans, lambda s: greatest(s.a, h.a) < least(s.b, h.b))) > 0 THEN w.spans ELSE list_append(w.spans, {{'a': h.a, 'b': h.b}}) END,
+         CASE WHEN len(list_filter(w.spans, lambda s: greatest(s.a, h.a) < least(s.b, h.b))) > 0 THEN w.toks ELSE list_concat(w.toks, list_filter(h.toks, lambda t: NOT list_contains(w.toks, t))) END FROM han_walk w JOIN han_hit h ON h.raw = w.raw AND h.i = w.i + 1),
+han_done AS (SELECT raw, arg_max(toks, i) AS toks FROM han_walk GROUP BY raw),
+spelled AS (SELECT w.raw, CASE WHEN mapped IS NOT NULL THEN string_split(mapped, ' ') WHEN d.toks IS NOT NULL AND len(d.toks) > 0 THEN d.toks ELSE [stem] END AS toks FROM word w LEFT JOIN han_done d ON d.raw = w.raw),
+joined AS (SELECT i, array_to_string(list_filter(flatten(list(s.toks ORDER BY p.at)), lambda t: NOT list_contains([{_stop}], t) AND length(t) > 0), ' ') AS said FROM parts p JOIN spelled s ON s.raw = p.raw GROUP BY 1)
+SELECT record_id, c, CASE WHEN coalesce(said, '') <> '' THEN said ELSE c END AS said FROM hans h LEFT JOIN joined j ON j.i = h.i""",
     }

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    A temporary folder is made and set only where the session names none, which is the case in
-    single-machine tests.
+    A temporary folder is made and set only where the session names none and all executors are threads of this process, as
+    in tests; anywhere else a session without that setting is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="gaitloom-")
     sc.setCheckpointDir(made)
     return sc._jsc.sc().getCheckpointDir().get()
@@ -62,6 +65,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, most: int) -> DataFrame:
+    """``df`` marked for a broadcast, after counting that it has at most so many rows; more are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a table of more than {most} rows can't be broadcast")
+    return broadcast(df)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an explicit repartition: the session's own setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.lexicon import has_han
 from ..functions.requests import encoder_texts, semantic_text
 from ..operators import ranking as R
+from ..operators.postings import Index
 
 #: Texts -> vectors; an encoder model stands behind it, tests use stored vectors.
 Encoder = Callable[[list[str]], list[Sequence[float]]]
@@ -50,22 +51,24 @@ def checked(request: Request, dense_available: bool) -> Request:
     return Request(request.text, k, max(request.candidate_k, k), mode, rerank, diversity, request.randomness, request.seed, request.shortlist, warnings)
 
 
-def search(entry: DataFrame, request: Request, *, captions: DataFrame | None = None, encode: Encoder | None = None, scorer=R.overlap_score) -> tuple[DataFrame, list[str]]:
+def search(index: Index | DataFrame, request: Request, *, captions: DataFrame | None = None, encode: Encoder | None = None, scorer=R.overlap_score) -> tuple[DataFrame, list[str]]:
     """``(object_id, dataset, motion_id, score, pooled_score, position)`` of one request, and its warnings.
 
-    ``entry`` is the indexed entry table, ``captions`` the caption vectors. The expensive scorer sees the shortlist only.
+    ``index`` is a published index or the entry table, ``captions`` the caption vectors. A lexical search scores the
+    candidates of the full-text order only, the expensive scorer sees the shortlist only.
     """
+    entry = index.entry if isinstance(index, Index) else index
     spark: SparkSession = entry.sparkSession
     r = checked(request, captions is not None and encode is not None)
     terms = R.query_table(spark, [("q", r.text)]) if r.mode != "semantic" else None
     wanted = max(r.candidate_k, r.top_k)
-    lexical = R.lexical_top(R.lexical_scores(entry, terms), wanted) if terms is not None else None
+    lexical = R.lexical_top(R.lexical_scores(index, terms, limit=R.candidate_limit(wanted)), wanted) if terms is not None else None
     if r.mode == "lexical":
         ranked = lexical
     else:
         vectors = {"q": encode(encoder_texts(semantic_text(r.text)))}
-        scored = R.dense_scores(captions.where("object_id IS NOT NULL"), vectors)
-        dense = R.best_of_object(R.top(scored, 4 * wanted, [F.desc("score"), F.asc("vec_id")]))
+        scored = R.dense_scores(captions.where("object_id IS NOT NULL"), vectors, keep=4 * wanted)
+        dense = R.best_of_object(R.top(scored, 4 * wanted, [F.desc(F.round("score", 9)), F.asc("vec_id")]))
         if r.mode == "semantic":
             ranked = dense.join(entry.select("object_id", "dataset", "motion_id"), "object_id").select("query_id", "object_id", "dataset", "motion_id", "score")
         else:

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import audit, classify, entries as E, evaluate, facets, hierarchy as H, postings as P, ranking as R
-from .oracles import CASES, DENSE, LIB_FILTERS, QUERIES
+from .operators import audit, classify, entries as E, evaluate, facets, hierarchy as H, postings as P, ranking as R, respond, semantic
+from .oracles import BASE, CASES, DENSE, LEAVES, LIB_FILTERS, LOOKED_UP, QUERIES, VERSION
 from .plans.library import Browse, browse
 from .plans.runtime import table
 from .plans.search import Request, search
-from .sources.files import roll_degrees
+from .sources.files import index_records, roll_degrees
 from .streaming.incremental import windowed_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,9 +38,12 @@ def _force(s, d):
     return E.assignments(table(s, d, "motion_entry"))
 
 
+def _index(s, d):
+    return P.ensure_index(s, f"{d}/motion_index.parquet", lambda: _entry(s, d))
+
+
 def _lexical(s, d):
-    entry = P.indexed(_entry(s, d))
-    return R.lexical_scores(entry, R.query_table(s, QUERIES))
+    return R.lexical_scores(_index(s, d), R.query_table(s, QUERIES))
 
 
 def _library(s, d):
@@ -90,15 +94,26 @@ def bm25_search(s, d):
 
 @query
 def fts_candidates(s, d):
-    terms = R.query_table(s, QUERIES).select("query_id", "token")
-    return P.postings(_entry(s, d)).join(F.broadcast(terms), "token").select("query_id", "object_id").distinct()
+    return R.candidates(_index(s, d), R.query_table(s, QUERIES), 10**9).select("query_id", "object_id")
+
+
+@query
+def fts_limited(s, d):
+    return R.candidates(_index(s, d), R.query_table(s, QUERIES), 40)
+
+
+@query
+def limited_search(s, d):
+    return R.lexical_top(R.lexical_scores(_index(s, d), R.query_table(s, QUERIES), limit=100), 10)
 
 
 @query
 def entries_page(s, d):
-    scored = _lexical(s, d).withColumn("best", F.expr("max(score) OVER (PARTITION BY query_id)"))
-    kept = scored.where("dataset = 'motionxpp'").withColumn("total", F.expr("count(*) OVER (PARTITION BY query_id)"))
-    placed = R.top(kept, 40, [F.desc("score"), F.asc("dataset"), F.asc("motion_id"), F.asc("object_id")], rank="place").where("place > 20")
+    scored = _lexical(s, d)
+    # one row a query, joined to the page instead of a window over all matches
+    about = scored.groupBy("query_id").agg(F.max("score").alias("best"), F.count_if(F.col("dataset") == "motionxpp").alias("total"))
+    kept = scored.where("dataset = 'motionxpp'")
+    placed = R.top(kept, 40, [F.desc("score"), F.asc("dataset"), F.asc("motion_id"), F.asc("object_id")], rank="place").where("place > 20").join(about, "query_id")
     return placed.select("query_id", "object_id", "score", R.pooled(F.col("score"), F.col("best")).alias("pooled_score"), "total", "place")
 
 
@@ -144,7 +159,7 @@ def _dense(s, d, k):
     wanted = {v for own in DENSE.values() for v in own}
     held = {r.vec_id: r.embedding for r in rows.where(F.col("vec_id").isin(*wanted)).select("vec_id", "embedding").collect() if r.embedding is not None}
     vectors = {name: [held[v] for v in own if v in held] for name, own in DENSE.items() if own[0] in held}
-    return R.top(R.dense_scores(rows, vectors), k, [F.desc(F.round("score", 9)), F.asc("vec_id")])
+    return R.top(R.dense_scores(rows, vectors, keep=k), k, [F.desc(F.round("score", 9)), F.asc("vec_id")])
 
 
 @query
@@ -195,7 +210,9 @@ def sample_seeded(s, d):
 
 @query
 def running_weight(s, d):
-    return audit.running_total(table(s, d, "orders"), ["o_custkey"], [F.asc("o_orderkey")], "o_totalprice").select("o_custkey", "o_orderkey", F.round("cumulative", 2).alias("cumulative"))
+    # the cumulative weights of an exploratory draw over the head of a ranked list
+    head = R.lexical_top(_lexical(s, d), 50).withColumn("weight", F.exp(F.col("score") / 10.0))
+    return audit.running_total(head, ["query_id"], [F.asc("rank")], "weight").select("query_id", "object_id", F.round("cumulative", 4).alias("cumulative"))
 
 
 @query
@@ -305,14 +322,144 @@ def space_keyword_axis(s, d):
     return classify.space_axis(_entry(s, d)).select("object_id", "space")
 
 
-@query
-def prototype_classify(s, d):
+def _candidates(s, d):
     n, captions = _nodes(s, d), table(s, d, "semantic_index")
     primary = _force(s, d).select("object_id", F.col("classification.primary_action_node_id").alias("node_id")).where("node_id IS NOT NULL")
     rules = _force(s, d).select("object_id", F.transform("classification.action_nodes", lambda x: x["id"]).alias("node_ids"))
     return classify.prototype_candidates(captions, classify.prototype_vectors(captions, primary, n), rules)
 
 
+@query
+def prototype_classify(s, d):
+    return _candidates(s, d).drop("group_score", "major_score")
+
+
+def _chosen(s, d):
+    """Candidates of the prototypes against the leaves that the delivered results name."""
+    return semantic.scored_candidates(_candidates(s, d), _force(s, d), LEAVES)
+
+
+@query
+def margins(s, d):
+    return _chosen(s, d).select("object_id", "node_id", "score", "margin")
+
+
+@query
+def rule_conflicts(s, d):
+    return _chosen(s, d).select("object_id", "node_id", F.array_join("expected", "|").alias("expected"), "rule_conflict")
+
+
+@query
+def semantic_levels(s, d):
+    return classify.confidence_levels(_chosen(s, d)).select("object_id", "level")
+
+
+@query
+def semantic_review(s, d):
+    return classify.review_queue(classify.confidence_levels(_chosen(s, d))).select("object_id", "reason", F.array_join("reasons", ",").alias("reasons"))
+
+
+def _applied(s, d):
+    n = _nodes(s, d)
+    rules = semantic.rule_records(_entry(s, d), n, VERSION)
+    levels = classify.confidence_levels(_chosen(s, d))
+    return semantic.apply_semantic(levels, rules, n, table(s, d, "semantic_index"), model="own-encoder", version=VERSION, prefix=LEAVES)
+
+
+@query
+def apply_semantic(s, d):
+    c, m = F.col("classification"), F.col("classification.classification_model")
+    axes = [c["taxonomy"][a].alias(a) for a in ("action_category", "action_tag", "activity_domain", "participants", "space")]
+    model = [m["margin"].alias("margin"), F.array_join(m["candidate_node_ids"], "|").alias("candidates"), m["status"].alias("status"), m["matched_caption"].alias("matched_caption")]
+    return _applied(s, d).where("classification.classification_method IS NOT NULL").select("object_id", c["primary_action_node_id"].alias("node_id"), *axes, F.array_join(F.get(c["action_nodes"], F.lit(0))["path"], " > ").alias("path"), c["classification_confidence"].alias("confidence"), *model)
+
+
+@query
+def rule_records(s, d):
+    c = F.col("classification")
+    nodes = F.array_join(F.transform(c["action_nodes"], lambda n: F.concat_ws("/", n["role"], n["id"], F.array_join(n["path"], ">"), F.array_join(n["matched_phrases"], "+"))), "|")
+    return semantic.rule_records(_entry(s, d), _nodes(s, d), VERSION).select("object_id", nodes.alias("nodes"), F.array_join(c["matched_keywords"]["action_tag"], "+").alias("tag_keywords"), F.array_join(c["matched_keywords"]["participants"], "+").alias("participant_keywords"), c["classification_confidence"].alias("confidence"))
+
+
+@query
+def reused_classification(s, d):
+    entry = _entry(s, d)
+    kept = semantic.reused(entry, _force(s, d), semantic.rule_records(entry, _nodes(s, d), VERSION), VERSION)
+    return kept.select("object_id", "cached", F.col("classification.taxonomy")["participants"].alias("participants"), F.when(F.col("cached"), F.col("classification.primary_action_node_id")).alias("cached_node"))
+
+
+@query
+def rule_leaf_ids(s, d):
+    return _force(s, d).select("object_id", F.array_join(semantic.leaf_ids(F.col("classification.action_nodes"), LEAVES), "|").alias("leaves"))
+
+
+@query
+def assignment_summary(s, d):
+    return semantic.summary(E.classified(_entry(s, d), _force(s, d)), H.visible(_nodes(s, d), leaves_only=True)).withColumn("value", F.round("value", 6))
+
+
+@query
+def ordered_counts(s, d):
+    return semantic.ordered_counts(semantic.node_counts(E.classified(_entry(s, d), _force(s, d)))).where("place <= 25")
+
+
+def _looked_up(s, d):
+    rows = table(s, d, "semantic_index").where(F.col("vec_id").isin(*LOOKED_UP) & F.col("object_id").isNotNull())
+    return respond.lookup(_entry(s, d), ["no such id", *(r.object_id for r in rows.select("object_id").collect())])
+
+
+@query
+def entry_lookup(s, d):
+    return _looked_up(s, d).select("object_id", "dataset", "motion_id", "description")
+
+
+@query
+def entry_full(s, d):
+    r = respond.full(_looked_up(s, d), BASE)
+    return r.select("object_id", "animal", "track_name", "source_glb", F.col("preview.download_url").alias("preview_url"), F.col("preview.available").alias("available"), F.col("_links.self").alias("self"), F.col("model.download_path").alias("download_path"), F.col("model.filename").alias("filename"), "has_icon")
+
+
+@query
+def entry_compact(s, d):
+    r = respond.compact(_entry(s, d))
+    return r.select("object_id", F.size("captions").alias("n_captions"), F.col("preview.download_path").alias("preview_path"), F.col("model.rest_download_path").alias("model_path"), F.col("model.filename").alias("filename"), F.col("model.lazy").alias("lazy"))
+
+
+@query
+def search_items(s, d):
+    top = R.lexical_top(_lexical(s, d), 10)
+    best = top.groupBy("query_id").agg(F.max("score").alias("best"))
+    rows = top.join(best, "query_id").join(_entry(s, d).select("object_id", "description", "frame_count"), "object_id")
+    r = respond.search_items(rows.withColumn("motion_id", F.col("motion_id")), BASE, "best")
+    return r.select("object_id", "rank", "score", "pooled_score", "frame_count", F.col("glb.url").alias("url"), F.col("glb.filename").alias("filename"), F.col("glb.content_type").alias("content_type"), F.col("preview.url").alias("preview_url"), F.col("model.rest_download_path").alias("model_path"))
+
+
+@query
+def response_rows(s, d):
+    items = respond.search_items(R.lexical_top(_lexical(s, d), 5).join(_entry(s, d).select("object_id", "description", "frame_count"), "object_id").withColumn("best", F.col("score")), BASE, "best")
+    body = items.groupBy().agg(F.to_json(F.struct(F.collect_list(F.struct(*items.columns)).alias("results"))).alias("body"))
+    return respond.response_items(body).select("object_id", "rank", respond.download_url("http://other/").alias("url"))
+
+
+@query
+def search_texts(s, d):
+    return table(s, d, "motion_index").select("record_id", F.explode("captions").alias("c")).where(X.has_han("c")).select("record_id", "c", X.search_text("c").alias("said"))
+
+
+def _some_number(x):
+    """A number that follows from a text, for stand-ins of files."""
+    return F.conv(F.substring(F.md5(x.cast("binary")), 1, 4), 16, 10).cast("int")
+
+
+@query
+def preview_resolve(s, d):
+    entry = _entry(s, d)
+    root = "/previews"
+    # every third entry has a preview file, every other third its older form, some of them too small to be one
+    files = audit.preview_paths(entry, root).withColumn("h", _some_number(F.col("object_id"))).where("h % 3 < 2").select(F.when(F.col("h") % 3 == 0, F.col("canonical_path")).otherwise(F.col("legacy_path")).alias("path"), (F.col("h") % 40).alias("length"))
+    return audit.resolve_previews(entry, files, root).select("object_id", "preview_path")
+
+
 def _scored(s, d):
     model = F.col("classification.classification_model")
     rows = _force(s, d).select("object_id", F.round(model["score"], 6).alias("score"), F.round(model["margin"], 6).alias("margin"), F.coalesce("classification.rule_conflict", F.lit(False)).alias("rule_conflict"))
@@ -399,9 +546,13 @@ def preview_roll(s, d):
 
 @query
 def page_audit(s, d):
-    glb = F.col("cache_glb")
-    issue = audit.cascade((glb.isNull(), "missing"), (glb == "", "empty"), (~glb.endswith(".glb"), "invalid_format"), (F.col("frame_count").isNull(), "blank"))
-    return audit.issue_counts(_entry(s, d).withColumn("issue", issue))
+    # files whose bytes follow from the object id: none, nothing, another format, or an image of one of two widths
+    h = _some_number(F.col("object_id"))
+    head = F.concat(F.lit(bytearray(b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0")), F.when(h % 2 == 0, F.lit(bytearray(b"\x7f\x02\0"))).otherwise(F.lit(bytearray(b"\x3f\x01\0"))), F.lit(bytearray(b"\xdf\x01\0")))
+    content = F.when(h % 5 == 0, F.lit(None).cast("binary")).when(h % 5 == 1, F.lit(bytearray())).when(h % 5 == 2, F.lit(bytearray(b"\x89PNG" + b"0" * 40))).otherwise(head)
+    rows = _entry(s, d).select("object_id", content.alias("content")).withColumn("size", audit.webp_size(F.col("content")))
+    issue = audit.cascade((audit.quick_issue(F.col("content")).isNotNull(), ""), (F.col("size.width") != 640, "wrong_dimensions"), (F.col("size.height") != 480, "wrong_dimensions"))
+    return audit.issue_counts(rows.withColumn("issue", F.when(issue == "", audit.quick_issue(F.col("content"))).otherwise(issue)))
 
 
 @query
@@ -411,18 +562,21 @@ def shard_assign(s, d):
 
 @query
 def union_builders(s, d):
-    c = table(s, d, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.lit("customer").alias("builder"))
-    return c.unionByName(table(s, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("builder")))
+    # one builder a dataset, each with the rules of its own, and all their records as one bag
+    rows = table(s, d, "motion_index").select(F.lower(F.trim("dataset")).alias("dataset"), "motion_id", "source_motion", "captions", "record_id")
+    made = [index_records(rows.where(F.col("dataset") == name).withColumn("path", F.coalesce("source_motion", F.lit(""))).withColumn("stem", F.coalesce("motion_id", F.lit(""))), name) for name in ("interhuman", "interx", "motionxpp", "motionlab")]
+    return reduce(DataFrame.unionByName, made).select("dataset", "motion_id", "object_id", "description")
 
 
 @query
 def set_difference(s, d):
-    return table(s, d, "nation").select(F.col("n_nationkey").alias("nation")).subtract(table(s, d, "supplier").select("s_nationkey"))
+    # objects with caption vectors that have no classification
+    return table(s, d, "semantic_index").where("object_id IS NOT NULL").select("object_id").subtract(_force(s, d).where("classification IS NOT NULL").select("object_id"))
 
 
 @query
 def set_intersection(s, d):
-    return table(s, d, "customer").select(F.col("c_nationkey").alias("nation")).intersect(table(s, d, "supplier").select("s_nationkey"))
+    return table(s, d, "semantic_index").where("object_id IS NOT NULL").select("object_id").intersect(_entry(s, d).where("dataset = 'interx'").select("object_id"))
 
 
 @query
@@ -453,7 +607,7 @@ def tag_texts(s, d):
 
 @query
 def search_page(s, d):
-    return search(P.indexed(_entry(s, d)), Request("a dancer catches a soft ball", top_k=20, mode="lexical"))[0]
+    return search(_index(s, d), Request("a dancer catches a soft ball", top_k=20, mode="lexical"))[0].withColumn("score", F.round("score", 6))
 
 
 @query
@@ -461,7 +615,7 @@ def search_hybrid_page(s, d):
     rows = table(s, d, "semantic_index")
     stored = [list(r.embedding) for r in rows.where("vec_id IN (202, 303) AND embedding IS NOT NULL").orderBy("vec_id").select("embedding").collect()]
     encode = lambda texts: [stored[k % len(stored)] for k in range(len(texts))]
-    return search(P.indexed(_entry(s, d)), Request("push a stiff door open, then sits quietly", top_k=20), captions=rows, encode=encode)[0]
+    return search(_index(s, d), Request("push a stiff door open, then sits quietly", top_k=20), captions=rows, encode=encode)[0].withColumn("score", F.round("score", 6))
 
 
 def _browse(s, d):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -15,7 +16,10 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small driver-side file by renaming a complete new one over it."""
+    """Replace a small driver-side file by renaming a complete new one over it.
+
+    The rename replaces the target in one step, so a reader finds the old file or the new one, never none.
+    """
     fs, target, jvm = _filesystem(spark, path)
     fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
@@ -23,9 +27,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"could not publish {path}")
+    options = jvm.org.apache.hadoop.fs.Options
+    over = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 1)
+    over[0] = getattr(options, "Rename").OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(target), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -58,6 +64,18 @@ def amend_manifest(spark: SparkSession, root: str, **fields) -> None:
     write_text(spark, f"{root}/manifest.json", json.dumps({**json.loads(read_text(spark, f"{root}/manifest.json") or "{}"), **fields}, ensure_ascii=False))
 
 
+def fingerprint(spark: SparkSession, path: str, *more) -> str:
+    """Hash of the names, sizes and times of the files below a path, and of whatever else the result depends on."""
+    fs, place, _ = _filesystem(spark, path)
+    found = []
+    if fs.exists(place):
+        files = fs.listFiles(fs.makeQualified(place), True)
+        while files.hasNext():
+            one = files.next()
+            found.append(f"{one.getPath()}:{one.getLen()}:{one.getModificationTime()}")
+    return hashlib.sha256("\n".join([*sorted(found), *map(str, more)]).encode()).hexdigest()
+
+
 def ensure(build, spark: SparkSession, root: str, fingerprint: str) -> DataFrame:
     """The published table if its fingerprint is this one (a hash of inputs and rules), else a new version of it."""
     said = read_text(spark, f"{root}/manifest.json")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import ast
-import json
-import math
-import struct
+import io
+import zipfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,46 +53,67 @@ def with_captions(motions: DataFrame, captions: DataFrame) -> tuple[DataFrame, D
     return motions.join(given, "stem"), motions.join(given, "stem", "left_anti")
 
 
-def _npy(data: bytes) -> tuple[dict, int] | None:
-    if len(data) < 10 or data[:6] != b"\x93NUMPY":
-        return None
-    wide = 2 if data[6] == 1 else 4
-    size = int.from_bytes(data[8 : 8 + wide], "little")
-    if size > HEADER_LIMIT or len(data) < 8 + wide + size:
-        return None
-    try:
-        header = ast.literal_eval(data[8 + wide : 8 + wide + size].decode("latin1"))
-    except (ValueError, SyntaxError):
-        return None
-    return (header, 8 + wide + size) if isinstance(header, dict) else None
+def little_endian(content: Column, at: int, size: int) -> Column:
+    """Whole number of some bytes of a file, the lowest first (places count from 0)."""
+    digits = F.hex(F.substring(content, at + 1, size))
+    return F.conv(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]), 16, 10).cast("bigint")
+
+
+def npy_header(content: Column) -> Column:
+    """``struct<type, fortran, frames, start>`` of an array file: what its header says, and where the data begin.
+
+    Null for anything else. The header is the literal of a dictionary with three fixed keys, so patterns read it.
+    """
+    wide = F.substring(content, 7, 1) != F.lit(b"\x01")
+    begin = F.when(wide, 12).otherwise(10)
+    size = F.when(wide, little_endian(content, 8, 4)).otherwise(little_endian(content, 8, 2))
+    whole = (F.substring(content, 1, 6) == F.lit(b"\x93NUMPY")) & (size <= HEADER_LIMIT) & (F.length(content) >= begin + size)
+    said = F.decode(F.substring(content, begin + 1, size.cast("int")), "ISO-8859-1")
+    dims = F.regexp_extract(said, r"'shape'\s*:\s*\(\s*(\d+)", 1)
+    return F.when(
+        whole & (dims != ""),
+        F.struct(F.regexp_extract(said, r"'descr'\s*:\s*'([^']*)'", 1).alias("type"), (F.regexp_extract(said, r"'fortran_order'\s*:\s*(\w+)", 1) == "True").alias("fortran"), dims.cast("bigint").alias("frames"), (begin + size).alias("start")),
+    )
 
 
-def npy_frames(data: bytes | None) -> int | None:
+def npy_frame_count(content: Column | str) -> Column:
     """First dimension of an array file; null for anything else."""
-    head = _npy(data or b"")
-    shape = head[0].get("shape") if head else None
-    return int(shape[0]) if isinstance(shape, tuple) and shape and isinstance(shape[0], int) and shape[0] > 0 else None
+    frames = npy_header(F.col(content) if isinstance(content, str) else content)["frames"]
+    return F.when(frames.between(1, 2**31 - 1), frames.cast("int"))
+
+
+_SCENE = "accessors array<struct<count: bigint>>, animations array<struct<samplers: array<struct<input: int>>>>"
+
+
+def glb_frame_count(content: Column | str) -> Column:
+    """Largest sample count over the inputs of all animation samplers of a binary scene file; null for anything else.
 
+    The first chunk of a scene of version 2 is its JSON; only these bytes are decoded, and only the two lists are parsed.
+    """
+    c = F.col(content) if isinstance(content, str) else content
+    sound = (F.substring(c, 1, 4) == F.lit(b"glTF")) & (little_endian(c, 4, 4) == 2) & (F.substring(c, 17, 4) == F.lit(b"JSON")) & (F.length(c) >= 20 + little_endian(c, 12, 4))
+    scene = F.from_json(F.when(sound, F.decode(F.substring(c, F.lit(21), little_endian(c, 12, 4).cast("int")), "UTF-8")), _SCENE)
+    inputs = F.flatten(F.transform(scene["animations"], lambda a: F.transform(F.coalesce(a["samplers"], F.array()), lambda s: s["input"])))
+    counts = F.transform(F.filter(inputs, lambda i: i >= 0), lambda i: F.get(scene["accessors"], i)["count"])
+    return F.array_max(F.filter(counts, lambda n: n > 0)).cast("int")
 
-def glb_frames(data: bytes | None) -> int | None:
-    """Largest sample count over the inputs of all animation samplers of a binary scene file."""
-    data = data or b""
+
+def npz_frames(data: bytes | None, member: str = "root_orient") -> int | None:
+    """First dimension of one array of an archive; null where it has none."""
     try:
-        if len(data) < 20 or data[:4] != b"glTF" or struct.unpack_from("<I", data, 4)[0] != 2:
-            return None
-        at = 12
-        while at + 8 <= len(data):
-            size, kind = struct.unpack_from("<I4s", data, at)
-            if kind == b"JSON":
-                scene = json.loads(data[at + 8 : at + 8 + size].rstrip(b" \t\r\n\0"))
-                accessors = scene["accessors"]
-                inputs = [s.get("input") for a in scene["animations"] if isinstance(a, dict) for s in a.get("samplers") or () if isinstance(s, dict)]
-                counts = [int(accessors[i].get("count") or 0) for i in inputs if isinstance(i, int) and 0 <= i < len(accessors) and isinstance(accessors[i], dict)]
-                return max((c for c in counts if c > 0), default=None)
-            at += 8 + size
-    except (KeyError, TypeError, ValueError, struct.error, AttributeError):
-        pass
-    return None
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as archive, archive.open(f"{member}.npy") as part:
+            version = np.lib.format.read_magic(part)
+            read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+            shape = read(part)[0]
+    except (OSError, KeyError, ValueError, zipfile.BadZipFile):
+        return None
+    return int(shape[0]) if shape and shape[0] > 0 else None
+
+
+@F.pandas_udf(T.IntegerType())
+def npz_frame_count(content: pd.Series) -> pd.Series:
+    """Frames of the root orientation in an archive; the archive's directory is at its end, so Python reads it."""
+    return content.map(npz_frames).astype("Int32")
 
 
 def roll_degrees(x: Column, y: Column, z: Column) -> Column:
@@ -103,38 +123,22 @@ def roll_degrees(x: Column, y: Column, z: Column) -> Column:
     up_x = F.when(angle < 1e-8, 0.0).otherwise(-z / angle * s + x / angle * (y / angle) * (1.0 - c))
     up_z = F.when(angle < 1e-8, 0.0).otherwise(x / angle * s + z / angle * (y / angle) * (1.0 - c))
     roll = -F.degrees(F.atan2(up_x, up_z))
-    return F.when(F.abs(roll) < 8.0, 0.0).otherwise(F.round(roll, 2))
-
+    return F.when((angle < 1e-8) | (F.abs(roll) < 8.0), 0.0).otherwise(F.round(roll, 2))
 
-def npy_roll(data: bytes | None) -> float:
-    """The same from the first three floats of an array file; 0 for anything unreadable."""
-    data = data or b""
-    head = _npy(data)
-    if not head or head[0].get("fortran_order") or head[0].get("descr") not in ("<f4", ">f4", "=f4", "|f4") or len(data) < head[1] + 12:
-        return 0.0
-    x, y, z = struct.unpack_from((">" if head[0]["descr"] == ">f4" else "<") + "3f", data, head[1])
-    angle = math.sqrt(x * x + y * y + z * z)
-    if angle < 1e-8:
-        return 0.0
-    x, y, z = x / angle, y / angle, z / angle
-    s, c = math.sin(angle), math.cos(angle)
-    roll = -math.degrees(math.atan2(-z * s + x * y * (1 - c), x * s + z * y * (1 - c)))
-    return 0.0 if abs(roll) < 8.0 else round(roll, 2)
 
-
-@F.pandas_udf(T.IntegerType())
-def npy_frame_count(content: pd.Series) -> pd.Series:
-    return content.map(npy_frames).astype("Int32")
-
-
-@F.pandas_udf(T.IntegerType())
-def glb_frame_count(content: pd.Series) -> pd.Series:
-    return content.map(glb_frames).astype("Int32")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _first_floats(bytes_: pd.Series, type_: pd.Series) -> pd.Series:
+    """Three single-precision numbers of twelve bytes."""
+    return pd.Series([np.frombuffer(b, ">f4" if t == ">f4" else "<f4").astype(float).tolist() if b is not None and len(b) == 12 else None for b, t in zip(bytes_, type_)])
 
 
-@F.pandas_udf(T.DoubleType())
-def npy_preview_roll(content: pd.Series) -> pd.Series:
-    return content.map(npy_roll).astype(float)
+def npy_preview_roll(content: Column | str) -> Column:
+    """Roll of the first three numbers of an array file; 0 for anything unreadable. Only twelve bytes leave the JVM."""
+    c = F.col(content) if isinstance(content, str) else content
+    head = npy_header(c)
+    usable = ~head["fortran"] & head["type"].isin("<f4", ">f4", "=f4", "|f4")
+    first = _first_floats(F.when(usable, F.substring(c, (head["start"] + 1).cast("int"), F.lit(12))), F.coalesce(head["type"], F.lit("")))
+    return F.coalesce(roll_degrees(first[0], first[1], first[2]), F.lit(0.0))
 
 
 def lazy_frames(stored: Column, dataset: Column, read: Column, datasets: tuple[str, ...] = ("motionxpp", "motionlab")) -> Column:

@@ -33,6 +33,13 @@ def maintain(stream: DataFrame, root: str, checkpoint: str, *, once: bool = True
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def current(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """Postings and lengths in force: of an object that came in several batches those of the last one."""
+    lengths, found = (spark.read.parquet(f"{root}/{name}") for name in ("lengths", "postings"))
+    last = lengths.groupBy("object_id").agg(F.max("batch").alias("batch"))
+    return found.join(last, ["object_id", "batch"], "left_semi").drop("batch"), lengths.join(last, ["object_id", "batch"], "left_semi").drop("batch")
+
+
 def windowed_counts(events: DataFrame, *, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Event counts and sums by type in event-time windows, late rows admitted up to the watermark."""
     held = events.withWatermark("ts", late) if events.isStreaming else events

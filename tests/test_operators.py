@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaitloom.functions.lexicon import query_tokens
-from gaitloom.operators import audit, classify, entries as E, evaluate, facets, hierarchy as H, postings as P, ranking as R
+from gaitloom.operators import audit, classify, encode, entries as E, evaluate, facets, hierarchy as H, postings as P, ranking as R, respond, semantic
 from gaitloom.plans import library, search
 
 INDEX = "record_id bigint, dataset string, motion_id string, source_motion string, captions array<string>, description string, object_id string, cache_glb string, frame_count int"
@@ -143,6 +143,12 @@ def test_hierarchy(spark, nodes):
     assert [n["id"] for n in grown] == ["m1", "m2"] and grown[0]["count"] == 3 and [t["id"] for t in grown[1]["tags"]] == ["a3"]
 
 
+def test_a_cycle_is_an_error(spark):
+    rows = [node("a", "b", "action", "a", "A"), node("b", "a", "action", "b", "B")]
+    with pytest.raises(Exception, match="RECURSION"):
+        H.closure(spark.createDataFrame(rows, NODE)).collect()
+
+
 def test_legacy_axes_by_prefix(spark):
     rows = [node("weapon_sword", None, "major", "a", "A"), node("drive_car", None, "major", "b", "B"), node("medicalx", None, "major", "c", "C"), node("free", None, "major", "d", "D")]
     n = spark.createDataFrame(rows, NODE)
@@ -230,3 +236,126 @@ def test_audit(spark):
     ids = spark.range(100).select(F.col("id").alias("k"))
     parts = [sorted(r.k for r in audit.shard(ids.repartition(5), ["k"], i, 3).collect()) for i in range(3)]
     assert parts == [list(range(i, 100, 3)) for i in range(3)]
+
+
+def test_phrases_of_any_length(spark, assets):
+    long = "a dancer walks slowly on the floor and then turns around twice"
+    rows = [node("n1", None, "action", "长", long, [long]), node("n2", None, "action", "短", "floor")]
+    listed = classify.phrases(spark.createDataFrame(rows, NODE)).collect()
+    assert max(len(r.phrase) for r in listed) == 12
+    row = E.entries(index(spark, [(1, "interx", "k", "p", [f"here {long} again"], "d", "o", None, 1)]))
+    assert {r.node_id: r.length for r in classify.phrase_matches(row, spark.createDataFrame(rows, NODE)).collect()} == {"n1": 12, "n2": 1}
+
+
+def test_published_index_is_pruned_and_kept(spark, tmp_path):
+    rows = [(k, "motionlab", f"m{k}", "p", [f"a dancer walks word{k}"], "d", f"o{k}", None, 1) for k in range(50)]
+    entry, root = E.entries(index(spark, rows)), str(tmp_path / "ix")
+    built = []
+    held = P.publish_index(spark, root, "f1", lambda: built.append(1) or entry)
+    again = P.publish_index(spark, root, "f1", lambda: built.append(1) or entry)
+    assert built == [1] and again.documents == 50 and again.mean_length == held.mean_length
+    plan = again.hits(["word7"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "token" in plan.split("PushedFilters: ")[1].split("]")[0] and all(P.bucket_of(t) == b for t, b in again.postings.select("token", "bucket").distinct().collect())
+    asked = R.query_table(spark, [("q", "walks word7")])
+    one, two = ({(r.object_id, r.score) for r in R.lexical_scores(x, asked).collect()} for x in (entry, again))
+    assert one == two and len(one) == 50
+    few = R.lexical_scores(again, asked, limit=3).collect()
+    assert len(few) == 3 and "o7" in {r.object_id for r in few} and R.candidate_limit(5) == 1000 and R.candidate_limit(200) == 1600
+    assert P.publish_index(spark, root, "f2", lambda: built.append(1) or entry).documents == 50 and built == [1, 1]
+
+
+def test_dense_scores_keep_the_best_of_a_batch(spark):
+    rows = [(k, f"o{k}", [float(k % 7), 1.0]) for k in range(200)] + [(900, "x", None), (901, "y", [1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, object_id string, embedding array<float>")
+    order = [F.desc(F.round("score", 9)), F.asc("vec_id")]
+    vectors = {"a": [[1.0, 0.0]], "b": [[0.0, 1.0], [1.0, 1.0]]}
+    every = {tuple(r) for r in R.top(R.dense_scores(df, vectors), 9, order).collect()}
+    kept = R.dense_scores(df, vectors, keep=9)
+    assert every == {tuple(r) for r in R.top(kept, 9, order).collect()} and kept.count() < 400
+
+
+def test_nearest_rank_of_a_large_group(spark):
+    rng = np.random.default_rng(3)
+    values = np.round(rng.normal(size=30_000), 3)
+    df = spark.createDataFrame([("a", float(v)) for v in values], "k string, v double")
+    got = evaluate.nearest_rank(df, "k", "v", accuracy=1000).first()
+    ordered = np.sort(values)
+    assert (got.p50, got.p95) == tuple(ordered[int(np.round((len(values) - 1) * p))] for p in (0.5, 0.95))
+
+
+def test_semantic_result(spark, assets, nodes):
+    hits = [("o1", 1, "a1", 0.9, 0.8, 0.7, 0.6, 1), ("o1", 2, "a3", 0.4, 0.3, 0.2, 0.1, 2), ("o2", 1, "a3", 0.5, 0.5, 0.5, 0.5, 3), ("o2", 2, "a2", 0.5, 0.4, 0.4, 0.4, 3), ("o3", 1, "a1", 0.2, 0.1, 0.1, 0.1, 4)]
+    df = spark.createDataFrame(hits, "object_id string, rank int, node_id string, score double, leaf_score double, group_score double, major_score double, matched_vec bigint")
+    rules = semantic.rule_records(assets, nodes, "v1")
+    told = {r.object_id: r.classification for r in rules.collect()}
+    assert told["o2"].action_nodes[0].role == "primary" and told["o2"].action_nodes[0].path[0] == "大类" and told["o3"].matched_keywords["space"] == ["park"] and told["o3"].taxonomy["participants"] == "pair"
+    chosen = {r.object_id: r for r in semantic.scored_candidates(df, rules, "a").collect()}
+    assert set(chosen) == {"o1", "o2"} and chosen["o1"].margin == 0.5 and chosen["o2"].margin == 0.0 and chosen["o2"].rule_conflict and chosen["o2"].expected == ["a1", "a2"]
+    levels = classify.confidence_levels(semantic.scored_candidates(df, rules, "a"))
+    captions = spark.createDataFrame([(1, "walks"), (3, None)], "vec_id bigint, caption string")
+    made = {r.object_id: r.classification for r in semantic.apply_semantic(levels, rules, nodes, captions, model="m", version="v2", prefix="a").collect()}
+    one = made["o1"]
+    assert one.primary_action_node_id == "a1" and one.classification_model.margin == 0.5 and one.classification_model.candidate_node_ids == ["a1", "a3"] and one.classification_model.matched_caption == "walks"
+    assert one.classification_model.status.endswith("_confidence") and one.classification_confidence == 0.9 and one.taxonomy["participants"] == "single" and made["o3"].classification_method is None
+    other = {r.object_id: r.classification for r in semantic.apply_semantic(levels, rules, nodes, captions, model="m", version="v2").collect()}
+    assert all(c.classification_model is None for c in other.values())
+    stored = rules.where("object_id = 'o3'").withColumn("classification", F.col("classification").withField("taxonomy_version", F.lit("v9")).withField("taxonomy", F.create_map(F.lit("participants"), F.lit("single"))))
+    kept = {r.object_id: r for r in semantic.reused(assets, stored, rules, "v9").collect()}
+    assert kept["o3"].cached and kept["o3"].classification.taxonomy == {"participants": "pair"} and not kept["o1"].cached and kept["o1"].classification.taxonomy_version == "v1"
+    measures = {r.measure: r.value for r in semantic.summary(assets.select("object_id").join(rules, "object_id", "left"), H.visible(nodes, leaves_only=True)).collect()}
+    assert measures["entry_count"] == 4 and measures["leaf_label_count"] == 3
+    counted = semantic.ordered_counts(semantic.node_counts(rules)).where("dimension = 'tag'").orderBy("place").collect()
+    assert [r.place for r in counted] == list(range(1, len(counted) + 1)) and all(a.n >= b.n for a, b in zip(counted, counted[1:]))
+
+
+def test_projections_and_readers(spark, assets):
+    full = respond.full(respond.lookup(assets, ["o1", "nobody"]), "http://h/").collect()
+    assert len(full) == 1 and full[0]._links.self == "http://h/api/v1/entries/o1" and full[0].model.filename == "Hall_Walk_9.glb" and not full[0].preview.available and full[0].thumbnail.download_url is None
+    assert respond.lookup(assets, []).count() == 0 and respond.lookup(assets, [f"o{k}" for k in range(300)]).count() == 3
+    compact = {r.object_id: r for r in respond.compact(assets.withColumn("score", F.lit(2.0)).withColumn("best", F.lit(4.0)), best="best").collect()}
+    assert compact["o3"].pooled_score == 0.5 and compact["o3"].model.rest_download_path == "/api/v1/models/o3" and "model" not in respond.compact(assets, model=False).columns
+    items = respond.search_items(assets.withColumn("rank", F.lit(1)).withColumn("score", F.lit(1.0)).withColumn("best", F.lit(0.0)).withColumn("preview_path", F.lit("p")).withColumn("canonical", F.lit(False)).withColumn("rotation", F.lit(12.5)), "http://h", "best").collect()
+    assert all(r.pooled_score == 0 and r.preview.available and r.preview.rotation_degrees == 12.5 and r.glb.content_type == "model/gltf-binary" for r in items)
+    bodies = [("a", '{"items": [{"object_id": "x", "glb": {"url": "/g/x"}}]}'), ("b", '{"results": [{"object_id": "y", "model": {"download_path": "m/y"}}]}'), ("c", '{"data": [{"object_id": "z", "_links": {"download": "https://e/z"}}, {"object_id": "n"}]}')]
+    rows = respond.response_items(spark.createDataFrame(bodies, "run string, body string")).select("run", "object_id", respond.download_url("http://b/").alias("u")).collect()
+    assert {(r.run, r.object_id, r.u) for r in rows} == {("a", "x", "http://b/g/x"), ("b", "y", "http://b/m/y"), ("c", "z", "https://e/z"), ("c", "n", None)}
+    with pytest.raises(Exception, match="items, results or data"):
+        respond.response_items(spark.createDataFrame([("d", "{}")], "run string, body string")).collect()
+    said = spark.createDataFrame([("/a/b/c",), ("/x/c",)], "p string").select(respond.relative(F.col("p"), "/a/b").alias("r")).collect()
+    assert [r.r for r in said] == ["c", "/x/c"]
+
+
+def test_models_over_tables(spark):
+    def load_encoder():
+        return lambda texts: np.array([[len(t), t.count("a") + 1.0] for t in texts])
+
+    def load_scorer():
+        return lambda pairs: [float(len(a) + 10 * len(b)) for a, b in pairs]
+
+    hidden = np.arange(2 * 4 * 3, dtype=float).reshape(2, 4, 3)
+    right, left = np.array([[1, 1, 1, 0], [1, 1, 0, 0]]), np.array([[0, 1, 1, 1], [0, 0, 1, 1]])
+    assert (encode.last_token_pool(hidden, right) == hidden[[0, 1], [2, 1]]).all() and (encode.last_token_pool(hidden, left) == hidden[:, 3]).all()
+    assert np.allclose(np.linalg.norm(encode.l2_normalized([[3.0, 4.0], [0.0, 0.0]]), axis=1), [1, 0])
+    rows = [(1, "abc", "x"), (2, " abc ", None), (3, "", "aa"), (4, None, "aa")]
+    got = encode.encode_texts(spark.createDataFrame(rows, "k int, t string, u string"), ["t", "u"], load_encoder, batch=2).orderBy("k").collect()
+    assert got[0].t_embedding == got[1].t_embedding and np.isclose(np.linalg.norm(got[0].t_embedding), 1) and got[2].t_embedding is None and got[3].t_embedding is None and got[1].u_embedding is None
+    pairs = [("Walk  on", "x", 1), ("walk on", "X", 2), ("walk on", None, 3)] + [("a", "b", k) for k in range(4, 50)]
+    scored = {r.k: r.pair_score for r in encode.score_pairs(spark.createDataFrame(pairs, "query string, document string, k int"), load_scorer).collect()}
+    assert scored[1] == scored[2] == 17.0 and scored[3] is None and scored[49] == 11.0 and len(scored) == 49
+
+
+def test_previews(spark, assets):
+    files = spark.createDataFrame([("file:/r/motionxpp/set/Hall_Walk_9.webp", 90), ("/r/interx/K1.png", 90), ("/r/motionlab/L1.webp", 3)], "path string, length bigint")
+    got = {r.motion_id: r.preview_path for r in audit.resolve_previews(assets, files, "/r/").collect()}
+    assert got == {"set/Hall_Walk_9": "/r/motionxpp/set/Hall_Walk_9.webp", "K1": "/r/interx/K1.png", "L1": None, "set/Hall_Walk_2": None}
+    assert {r.motion_id for r in audit.preview_candidates(assets, files, "/r").collect()} == {"K1", "L1", "set/Hall_Walk_2"}
+    assert {r.motion_id for r in audit.preview_candidates(assets, files, "/r", dataset="interx", overwrite=True).collect()} == {"K1"} and audit.preview_candidates(assets, files, "/r", ids=["o1"]).count() == 0
+    shards = [{r.motion_id for r in audit.preview_candidates(assets, files, "/r", index=i, count=2, overwrite=True).collect()} for i in range(2)]
+    assert len(shards[0] | shards[1]) == 4 and not shards[0] & shards[1]
+    head = lambda kind, rest: bytearray(b"RIFF\0\0\0\0WEBP" + kind + b"\x0a\0\0\0" + rest + b"\0" * 20)
+    images = [head(b"VP8X", b"\0\0\0\0\x7f\x02\0\xdf\x01\0"), head(b"VP8 ", b"\0\0\0\x9d\x01\x2a\x80\x02\xe0\x01"), head(b"VP8L", b"\x2f" + ((639) | (479 << 14)).to_bytes(4, "little")), bytearray(b"junk"), None]
+    sizes = [tuple(r.s) if r.s else None for r in spark.createDataFrame([(k, b) for k, b in enumerate(images)], "k int, c binary").select("k", audit.webp_size(F.col("c")).alias("s")).orderBy("k").collect()]
+    assert sizes == [(640, 480)] * 3 + [None, None]
+    tally = audit.migration_tally(spark.createDataFrame([("a", 1, 1, None), ("b", 1, 0, None), ("c", 0, 0, "broken")], "path string, converted int, removed int, error string")).first()
+    assert tuple(tally) == (2, 1, 1)

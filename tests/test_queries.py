@@ -1,6 +1,7 @@
 """Every query with SQL agrees with it; the others run; plans stay as intended."""
 
 import importlib
+import importlib.util
 import sys
 
 import pytest
@@ -39,6 +40,18 @@ def test_scans_are_pruned(spark, tiny):
     assert "captured_at" not in text
 
 
+def test_a_missing_dependency_is_no_missing_package(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("gaitloom.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    if importlib.util.find_spec("gaitloom.llm") is None:
+        pytest.skip("the package isn't there")
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.raises(ModuleNotFoundError, match="xxhash"):
+        importlib.reload(entry)
+    monkeypatch.undo()
+    importlib.reload(entry)
+
+
 def test_the_rest_works_without_the_training_data_package(monkeypatch):
     for name in [m for m in sys.modules if m.startswith("gaitloom.llm")]:
         monkeypatch.delitem(sys.modules, name)
