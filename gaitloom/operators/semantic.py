@@ -172,7 +172,8 @@ def summary(classified: DataFrame, leaves: DataFrame) -> DataFrame:
     ``classified`` is ``(object_id, classification)`` with null for entries without a result; ``leaves`` are ``(id)``.
     """
     first = F.col("classification.primary_action_node_id")
-    told = classified.agg(F.count("*").alias("entries"), F.count(first).alias("classified"), F.count_distinct(first).alias("used"), F.count_if(F.coalesce("classification.rule_conflict", F.lit(False))).alias("conflicts"))
+    flagged = F.coalesce("classification.rule_conflict", F.lit(False)) if "rule_conflict" in classified.schema["classification"].dataType.names else F.lit(False)
+    told = classified.agg(F.count("*").alias("entries"), F.count(first).alias("classified"), F.count_distinct(first).alias("used"), F.count_if(flagged).alias("conflicts"))
     labels = leaves.agg(F.count_distinct("id").alias("labels"))
     both = told.join(F.broadcast(labels))
     total = F.greatest("entries", F.lit(1))
