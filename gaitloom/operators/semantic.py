@@ -14,6 +14,29 @@ METHOD = "semantic_leaf_v2"
 _NODE = "struct<id: string, label: string, en: string, kind: string, path: array<string>, role: string, matched_phrases: array<string>, source_refs: array<string>>"
 
 
+#: What label vectors and caption vectors must both say of themselves.
+CONTRACT = {"encoder_family": "qwen3-embedding", "pooling": "last_token", "normalized": True}
+
+
+class ContractError(ValueError):
+    """Label vectors and caption vectors that don't belong together."""
+
+
+def check_contract(labels: dict, captions: dict, label_rows: int, caption_rows: int, dimension: int, contract: dict = CONTRACT) -> None:
+    """Raise unless two manifests name the same encoder and the tables hold what their manifests say."""
+    for name, manifest in (("label", labels), ("caption", captions)):
+        for key, value in contract.items():
+            if manifest.get(key) != value:
+                raise ContractError(f"{name} vectors: {key} is {manifest.get(key)!r}, not {value!r}")
+    if labels.get("encoding_role") != "document":
+        raise ContractError("label vectors are not of document texts")
+    if labels.get("model_config_sha256") != captions.get("model_config_sha256"):
+        raise ContractError("label and caption vectors are of different model configurations")
+    told = (int(labels.get("label_count", label_rows)), int(captions.get("caption_count", caption_rows)), int(labels.get("dimension", dimension)))
+    if told != (label_rows, caption_rows, dimension):
+        raise ContractError(f"manifests name {told}, the tables hold {(label_rows, caption_rows, dimension)}")
+
+
 def node_details(nodes: DataFrame) -> DataFrame:
     """``(node_id, label, en, kind, path, source_refs, category, tag, domain)`` of every node."""
     full = closure(nodes)

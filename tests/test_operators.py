@@ -309,6 +309,14 @@ def test_semantic_result(spark, assets, nodes):
     assert [r.place for r in counted] == list(range(1, len(counted) + 1)) and all(a.n >= b.n for a, b in zip(counted, counted[1:]))
 
 
+def test_contract():
+    both = dict(semantic.CONTRACT, model_config_sha256="x")
+    semantic.check_contract(both | {"encoding_role": "document", "label_count": 3, "dimension": 4}, both, 3, 9, 4)
+    for labels, captions in ((both, both), (both | {"encoding_role": "document", "pooling": "mean"}, both), (both | {"encoding_role": "document"}, both | {"model_config_sha256": "y"}), (both | {"encoding_role": "document", "dimension": 5}, both)):
+        with pytest.raises(semantic.ContractError):
+            semantic.check_contract(labels, captions, 3, 9, 4)
+
+
 def test_projections_and_readers(spark, assets):
     full = respond.full(respond.lookup(assets, ["o1", "nobody"]), "http://h/").collect()
     assert len(full) == 1 and full[0]._links.self == "http://h/api/v1/entries/o1" and full[0].model.filename == "Hall_Walk_9.glb" and not full[0].preview.available and full[0].thumbnail.download_url is None
