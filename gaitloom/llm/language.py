@@ -89,7 +89,8 @@ def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         z = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         bucket = (z >> np.uint64(40)) & mask
         keys.append((row[:size][alive] << GRAM_BITS) | bucket[alive].astype(np.int64))
-    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
     return key >> GRAM_BITS, key & int(mask)
 
 
