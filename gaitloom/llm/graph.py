@@ -61,7 +61,7 @@ class Graph:
 
     def _walk(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         rows, n = np.arange(len(q))[:, None], self.n
-        met, expanded = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+        met, expanded, mark = (np.zeros(n + 1, bool) for _ in range(3))
         met[[n, self.entry]] = expanded[n] = True
         ids = np.full((len(q), beam), n, np.int32)
         score = np.full((len(q), beam), -2, np.float32)
@@ -71,13 +71,15 @@ class Graph:
             if not waiting.any():
                 return ids, score
             # the first few of every beam that wait, the beams being in order
-            next_ = np.unique(ids[waiting & (np.cumsum(waiting, axis=1) <= self.expand)])
-            expanded[next_] = True
-            around = self.edges[next_].ravel()
-            around = np.unique(around[~met[around]])
+            mark[ids[waiting & (np.cumsum(waiting, axis=1) <= self.expand)]] = True
+            next_ = np.flatnonzero(mark)
+            mark[next_], expanded[next_] = False, True
+            mark[self.edges[next_].ravel()] = True
+            mark[met] = False
+            around = np.flatnonzero(mark)
             if not len(around):
                 continue
-            met[around] = True
+            mark[around], met[around] = False, True
             value = q @ self.x[around].T
             useful = np.flatnonzero((value > score[:, -1:]).any(0))
             if not len(useful):
