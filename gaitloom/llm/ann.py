@@ -277,14 +277,16 @@ def shard_neighbours(x: np.ndarray, ids: np.ndarray, member: np.ndarray, k: int,
     return a[best], b[best], s[best].astype(np.float64)
 
 
-def _searched(dealt: DataFrame, dims: int, k: int, least: float, *, all_members: bool, query_beam: int) -> DataFrame:
+def _searched(dealt: DataFrame, parts: np.ndarray, dims: int, k: int, least: float, *, all_members: bool, query_beam: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         vectors = group["vector"].combine_chunks()
         x = _unpacked(vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors, dims)
         a, b, s = shard_neighbours(x, group["vec_id"].to_numpy(), group["member"].to_numpy(), k, least, all_members=all_members, query_beam=query_beam)
         return pa.table({"vec_id": pa.array(a, pa.int64()), "other": pa.array(b, pa.int64()), "cosine": pa.array(s, pa.float64())})
 
-    found = dealt.groupBy("cell", "part").applyInArrow(run, _HIT)
+    # twice as many partitions as graphs, whatever the session's number: a task holds one graph or a few, never more as cells grow in number
+    spread = dealt.repartition(2 * int(parts.sum()), "cell", "part")
+    found = spread.groupBy("cell", "part").applyInArrow(run, _HIT)
     best = found.groupBy("vec_id", "other").agg(F.max("cosine").alias("cosine"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
 
@@ -292,7 +294,7 @@ def _searched(dealt: DataFrame, dims: int, k: int, least: float, *, all_members:
 def _nearest(vectors: DataFrame, dims: int, cells: Cells, parts: np.ndarray, k: int, least: float) -> DataFrame:
     """The k nearest of every vector but the further copies of ``_further_copies``."""
     dealt = _dealt(vectors.select("vec_id", "embedding", F.lit(False).alias("asked")), dims, cells, parts, k)
-    return _searched(dealt, dims, k, least, all_members=True, query_beam=BEAM)
+    return _searched(dealt, parts, dims, k, least, all_members=True, query_beam=BEAM)
 
 
 def _further_copies(vectors: DataFrame, dims: int, k: int) -> DataFrame:
@@ -328,7 +330,7 @@ def nearest_of_queries(vectors: DataFrame, asked, *, k: int = 5, probes: int = P
     if cells is None:
         return vectors.sparkSession.createDataFrame([], _HIT + ", rank int")
     dealt = _dealt(vectors.select("vec_id", "embedding", F.coalesce(asked, F.lit(False)).alias("asked")), dims, cells, parts, k, probes=probes)
-    return _searched(dealt, dims, k, -1.0, all_members=False, query_beam=beam)
+    return _searched(dealt, parts, dims, k, -1.0, all_members=False, query_beam=beam)
 
 
 def mutual_pairs(vectors: DataFrame, *, k: int = 5, least: float = 0.9) -> DataFrame:
