@@ -154,7 +154,7 @@ def index_records(motions: DataFrame, dataset: str, *, motion_id: Column | str =
         m.alias("motion_id"),
         F.col("path").alias("source_motion"),
         "captions",
-        F.col("captions")[0].alias("description"),
+        F.get("captions", F.lit(0)).alias("description"),
         F.sha2(F.concat_ws(":", F.lit(dataset), m, F.col("path")), 256).alias("object_id"),
         (frame_count if frame_count is not None else F.lit(None).cast("int")).alias("frame_count"),
     )
