@@ -120,6 +120,7 @@ def test_folders(spark, tmp_path):
     assert {r.stem for r in bare.collect()} == {"10", "x"}
     row = files.index_records(given, "motionlab", frame_count=files.npy_frame_count("content")).first()
     assert row.frame_count == 4 and row.description == "a walk" and len(row.object_id) == 64
+    assert files.index_records(given.withColumn("captions", F.array().cast("array<string>")), "motionlab").first().description is None
     for folder, names in (("p", ("P1.npz", "P2.npz")), ("q", ("P1.npz",))):
         (tmp_path / "s" / folder).mkdir(parents=True)
         for n in names:
