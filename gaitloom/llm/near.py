@@ -40,6 +40,10 @@ BANDS, ROWS = 28, 6
 DF_BITS = 20
 #: Words whose hash a worker remembers (bounds its memory, not its results).
 REMEMBERED = 500_000
+#: (word, count) pairs whose samples a worker holds at once; a batch with more is worked in parts, with the same result.
+PAIRS_AT_ONCE = 1 << 16
+#: Pairs that are sampled in one go, so that their arrays stay in the processor's cache.
+AT_A_TIME = 256
 
 _HAN = "々〇〡-〩〸-〻㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
 _WORDS = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
@@ -56,11 +60,20 @@ def shingles(words: list[str], n: int) -> list[str]:
     return words if n == 1 else [" ".join(words[k : k + n]) for k in range(len(words) - n + 1)]
 
 
+def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hashes of the ``shingles`` of a text from those of its words."""
+    z = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        z += words[k : k + len(z)] * np.uint64((0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) | 1)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return z ^ (z >> np.uint64(29))
+
+
 _BAG = "record_id bigint, class bigint, copy bigint, words array<int>, times array<int>"
 
 
 def bags(records: DataFrame, *, min_words: int = 32, n: int = 1, counted: bool = False) -> DataFrame:
-    """Hashed shingles of every record with enough of them, its class and its copy fingerprint.
+    """Hashed shingles of every record with enough distinct words, its class and its copy fingerprint.
 
     ``counted``: a shingle counts as often as it stands, and records of a class hold all shingles equally often; else
     every shingle counts once.
@@ -74,25 +87,27 @@ def bags(records: DataFrame, *, min_words: int = 32, n: int = 1, counted: bool =
                 known.clear()
             ids, classes, marks, flat, times, sizes = [], [], [], [], [], []
             for record, captions, description in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                count = Counter(shingles(words_of("\n".join([c for c in captions or () if c])), n))
-                if len(count) < min_words:
+                said = words_of("\n".join([c for c in captions or () if c]))
+                count = Counter(said)
+                # words are what is asked for, whatever the shingles: 32 words in a row are but 28 shingles of five
+                if len(count) < min_words or len(said) < n:
                     continue
-                own = []
                 for w in count:
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-                    own.append(h)
-                hashes = np.array(own, np.uint64)
-                order = np.argsort(hashes)
-                hashes = hashes[order]
+                    if w not in known:
+                        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+                if n == 1:
+                    hashes = np.array([known[w] for w in count], np.uint64)
+                    order = np.argsort(hashes)
+                    hashes, often = hashes[order], np.fromiter(count.values(), np.int32, len(count))[order]
+                else:
+                    hashes, often = np.unique(window_hashes(np.array([known[w] for w in said], np.uint64), n), return_counts=True)
                 ids.append(record)
-                often = np.fromiter(count.values(), np.int32, len(count))[order] if counted else np.ones(len(count), np.int32)
+                often = often.astype(np.int32) if counted else np.ones(len(hashes), np.int32)
                 classes.append(xxhash.xxh3_64_intdigest(hashes.tobytes() + (often.tobytes() if counted else b"")))
                 marks.append(fingerprint(record_content(captions, description, shared.value)) >> 64)
                 flat.append(hashes.astype(np.uint32))
                 times.append(often)
-                sizes.append(len(own))
+                sizes.append(len(hashes))
             offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).view(t) if t == np.int32 else np.concatenate(x).astype(t))) if x else pa.array([], pa.list_(pa.from_numpy_dtype(t))) for x, t in ((flat, np.int32), (times, np.int32))]
             yield pa.RecordBatch.from_arrays(
@@ -127,11 +142,13 @@ def document_frequencies(bag: DataFrame, bits: int = DF_BITS) -> tuple[int, np.n
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(there, -1)), pa.array(np.append(total[there], seen))], names=["bucket", "n"])
 
-    rows = bag.select("words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    # as Arrow whatever the session says: shingles fill every bucket, and as many row objects are more than a driver holds
+    rows = bag.select("words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bucket, count = (rows.column(k).to_numpy() for k in ("bucket", "n"))
     out = np.zeros(1 << bits, np.float32)
-    inside = rows["bucket"] >= 0
-    out[rows.loc[inside, "bucket"].to_numpy(np.int64)] = rows.loc[inside, "n"]
-    return int(rows.loc[~inside, "n"].sum()), out
+    inside = bucket >= 0
+    out[bucket[inside]] = count[inside]
+    return int(count[~inside].sum()), out
 
 
 def word_weights(words: np.ndarray, times: np.ndarray, n: int, df: np.ndarray) -> np.ndarray:
@@ -158,33 +175,59 @@ def weighted_samples(words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np
     return np.log(c) - r * (t - draw[4] + np.float32(1)), t.astype(np.int32)
 
 
-def band_keys(words: np.ndarray, times: np.ndarray, offsets: np.ndarray, n: int, df: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys (records x bands) of a batch of bags."""
-    pair, inverse = np.unique((words.astype(np.int64) << 32) | times.astype(np.int64), return_inverse=True)
+def _drawn(pair: np.ndarray, n: int, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ordered value with the place of its pair in the low half, and signature, of k samples of each (word, count) pair."""
     own = (pair >> 32).astype(np.int32)
     # value and place of a word in one integer, so that the least of them names the word
-    least_of = np.empty((len(pair), bands * rows), np.int64)
-    sign = np.empty((len(pair), bands * rows), np.uint32)
+    least_of = np.empty((len(pair), k), np.int64)
+    sign = np.empty((len(pair), k), np.uint32)
     weights = word_weights(own, pair & 0xFFFFFFFF, n, df)
-    for a in range(0, len(pair), 4096):
-        some = own[a : a + 4096]
-        value, t = weighted_samples(some, weights[a : a + 4096], bands * rows)
+    for a in range(0, len(pair), AT_A_TIME):
+        some = own[a : a + AT_A_TIME]
+        value, t = weighted_samples(some, weights[a : a + AT_A_TIME], k)
         order = np.ascontiguousarray(value).view(np.int32)
         order ^= (order >> 31) & np.int32(0x7FFFFFFF)
-        least_of[a : a + 4096] = (order.astype(np.int64) << 32) | np.arange(a, a + len(some))[:, None]
-        sign[a : a + 4096] = some.view(np.uint32)[:, None] * np.uint32(0x9E3779B1) ^ (t.view(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-    keys = np.empty((len(offsets) - 1, bands), np.int64)
-    odd = (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    every = np.arange(bands * rows)
-    for a in range(0, len(offsets) - 1, 64):
-        b = min(a + 64, len(offsets) - 1)
+        least_of[a : a + AT_A_TIME] = (order.astype(np.int64) << 32) | np.arange(a, a + len(some))[:, None]
+        sign[a : a + AT_A_TIME] = some.view(np.uint32)[:, None] * np.uint32(0x9E3779B1) ^ (t.view(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    return least_of, sign
+
+
+def signatures(words: np.ndarray, times: np.ndarray, offsets: np.ndarray, n: int, df: np.ndarray, k: int, most: int = PAIRS_AT_ONCE) -> np.ndarray:
+    """Signatures (records x k) of the least samples of a batch of bags, ``most`` pairs at once."""
+    pair, inverse = np.unique((words.astype(np.int64) << 32) | times.astype(np.int64), return_inverse=True)
+    every, records = np.arange(k), len(offsets) - 1
+    if len(pair) > most and records > 1:
+        m = min(max(int(np.searchsorted(offsets, offsets[-1] // 2)), 1), records - 1)
+        at = offsets[m]
+        return np.concatenate([signatures(words[:at], times[:at], offsets[: m + 1], n, df, k, most), signatures(words[at:], times[at:], offsets[m:] - at, n, df, k, most)])
+    if len(pair) > most:  # one long record: the least of its parts, the earlier one of equals as within a part
+        least, best = np.full(k, np.iinfo(np.int64).max), np.empty(k, np.uint32)
+        for a in range(0, len(pair), most):
+            least_of, sign = _drawn(pair[a : a + most], n, df, k)
+            low = least_of.min(0)
+            less = low >> 32 < least
+            least[less], best[less] = (low >> 32)[less], sign[low & 0xFFFFFFFF, every][less]
+        return best[None, :]
+    least_of, sign = _drawn(pair, n, df, k)
+    out = np.empty((records, k), np.uint32)
+    for a in range(0, records, 64):
+        b = min(a + 64, records)
         part = inverse[offsets[a] : offsets[b]]
         place = np.minimum.reduceat(least_of[part], offsets[a:b] - offsets[a], axis=0) & 0xFFFFFFFF
-        bits = sign[place, every].reshape(b - a, bands, rows).astype(np.uint64)
-        z = (bits * odd).sum(2, dtype=np.uint64) + salt
+        out[a:b] = sign[place, every]
+    return out
+
+
+def band_keys(words: np.ndarray, times: np.ndarray, offsets: np.ndarray, n: int, df: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (records x bands) of a batch of bags."""
+    bits = signatures(words, times, offsets, n, df, bands * rows).reshape(-1, bands, rows)
+    odd = (np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    keys = np.empty((len(bits), bands), np.int64)
+    for a in range(0, len(bits), 64):
+        z = (bits[a : a + 64].astype(np.uint64) * odd).sum(2, dtype=np.uint64) + salt
         z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        keys[a:b] = (z ^ (z >> np.uint64(32))).view(np.int64)
+        keys[a : a + 64] = (z ^ (z >> np.uint64(32))).view(np.int64)
     return keys
 
 
@@ -266,10 +309,15 @@ def near_duplicates(records: DataFrame, *, threshold: float = 0.8, measure: str
 
     ``measure`` is "set" (share of distinct shingles) or "weighted" (weighted Jaccard over TF-IDF).
     """
+    return scored_duplicates(records, threshold=threshold, measure=measure, min_words=min_words, n=n, bands=bands, rows=rows).select("record_a", "record_b")
+
+
+def scored_duplicates(records: DataFrame, *, threshold: float = 0.8, measure: str = "set", min_words: int = 32, n: int = 1, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The pairs of ``near_duplicates`` with their ``similarity``; records of one class have a similarity of 1."""
     bag, kinds, found = _similar(records, threshold, measure, min_words, n, bands, rows)
     members = bag.select("class", "copy", "record_id")
     mixed = kinds.groupBy("class").agg(F.count("*").alias("k")).where("k > 1")
-    linked = found.select("class_a", "class_b").unionByName(mixed.select(F.col("class").alias("class_a"), F.col("class").alias("class_b")))
+    linked = found.unionByName(mixed.select(F.col("class").alias("class_a"), F.col("class").alias("class_b"), F.lit(1.0).alias("similarity")))
     side = lambda x: kinds.select(F.col("class").alias(f"class_{x}"), F.col("copy").alias(f"copy_{x}"))
     subclasses = (
         linked.join(side("a"), "class_a")
@@ -278,7 +326,7 @@ def near_duplicates(records: DataFrame, *, threshold: float = 0.8, measure: str
     )
     record = lambda x: members.select(F.col("class").alias(f"class_{x}"), F.col("copy").alias(f"copy_{x}"), F.col("record_id").alias(f"r_{x}"))
     out = subclasses.join(record("a"), ["class_a", "copy_a"]).join(record("b"), ["class_b", "copy_b"])
-    return out.select(F.least("r_a", "r_b").alias("record_a"), F.greatest("r_a", "r_b").alias("record_b"))
+    return out.select(F.least("r_a", "r_b").alias("record_a"), F.greatest("r_a", "r_b").alias("record_b"), "similarity")
 
 
 def class_links(records: DataFrame, *, threshold: float = 0.8, measure: str = "weighted", min_words: int = 32, n: int = 1, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

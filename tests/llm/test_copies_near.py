@@ -4,6 +4,7 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -173,6 +174,39 @@ def test_weighted_form_and_word_rules(spark):
     assert [(r.record_a, r.record_b) for r in links] == [(1, 2)] and 0.8 <= links[0].similarity < 1
 
 
+def test_weighted_form_names_every_pair_of_records(spark, tmp_path):
+    from gaitloom.llm import queries
+
+    words, few = [f"w{k}" for k in range(60)], [f"z{k}" for k in range(33)]
+    text = " ".join(words)
+    rows = [(1, [text], "d"), (2, [text], "another"), (3, [text.upper()], "d"), (4, [" ".join([*words[:58], "new"])], "d")]
+    # 33 words are but 29 shingles of five; 31 words are too few however often they stand
+    rows += [(5, [" ".join(few)], "d"), (6, [" ".join([*few[:32], "new"])], "d"), (7, [" ".join(few[:31] * 2)], "d"), (8, [" ".join(few[:31] * 2)], "e")]
+    table(spark, rows).write.parquet(str(tmp_path / "motion_index.parquet"))
+    got = {(r.record_a, r.record_b): r.similarity for r in queries.queries()["p3_weighted"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 2), (2, 3), (1, 4), (2, 4), (3, 4), (5, 6)}
+    assert got[1, 2] == got[2, 3] == 1 and 0.8 <= got[1, 4] == got[2, 4] == got[3, 4] < 1 and 0.8 <= got[5, 6] < 1
+
+
+def test_samples_of_many_pairs_are_drawn_in_parts():
+    rng = np.random.default_rng(4)
+    sizes = [3, 1, 700, 40, 40, 1, 90]
+    words = np.concatenate([rng.choice(5000, k, replace=False) for k in sizes]).astype(np.int32)
+    times, offsets = rng.integers(1, 4, len(words)).astype(np.int32), np.concatenate(([0], np.cumsum(sizes)))
+    df = rng.integers(0, 50, 1 << 12).astype(np.float32)
+    whole = near.signatures(words, times, offsets, 900, df, 24)
+    assert whole.shape == (len(sizes), 24)
+    for most in (1, 16, 300):
+        assert (near.signatures(words, times, offsets, 900, df, 24, most) == whole).all()
+
+
+def test_shingles_are_told_apart_by_the_hashes_of_their_words():
+    said = list("abcabcabdxabcab")
+    known = {w: np.uint64(rng) for w, rng in zip("abcdx", np.random.default_rng(1).integers(2**63, size=5))}
+    hashes = near.window_hashes(np.array([known[w] for w in said], np.uint64), 5)
+    assert len(dict(zip(hashes.tolist(), near.shingles(said, 5)))) == len(set(near.shingles(said, 5))) == len(set(zip(hashes.tolist(), near.shingles(said, 5))))
+
+
 @pytest.mark.parametrize("query", ["p1_found", "p1_collapsed", "p3_found", "p3_groups", "p3_weighted"])
 def test_queries_run(spark, tiny, query):
     from gaitloom.llm import queries
