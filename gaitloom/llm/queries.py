@@ -21,8 +21,7 @@ def p1_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     available = targets.candidates(table(spark, d, "motion_index"), table(spark, d, "motion_entry"))
-    report = targets.target_report(available, table(spark, d, "sample_target"))
-    return report.where("not met").select("plan_id", "dataset", "action_category")
+    return targets.unmet_targets(available, table(spark, d, "sample_target")).select("plan_id", "dataset", "action_category")
 
 
 def p2_sample(spark: SparkSession, d: str) -> DataFrame:

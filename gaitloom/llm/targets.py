@@ -3,23 +3,25 @@
 Method. One distributed aggregation gives the category moments (rows available for every pair of dataset and category).
 From these few numbers the inclusion probabilities are calibrated by Newton iterations on the dual of the
 exponential-tilting problem. Where targets are given for the margins (datasets and categories each), the features are
-the indicators of both, and probabilities are their tilted product. Where they are given for every pair, the features
-are the pairs themselves: one parameter each, so the first Newton steps already end at the closed form. Pairs that would
-leave their bounds (all available rows, floors) are fixed there, and the dual of the rest is solved again. The sample is
+the indicators of both, and probabilities are their tilted product. Where they are given for every pair, the shares are
+tilted by one parameter a plan, so that the rows of all pairs add up to the sample. Pairs that would leave their bounds
+(all available rows, floors) are fixed there, and the dual of the rest is solved again. The sample is
 drawn by the pivotal method in three levels: blocks of a category, the block remainders of a category, the category
 remainders of a plan. A block is bounded, and leaves at most one undecided row, so no task sees a whole category.
+Targets that can't be met are those that a sample leaves short whose floors are the requests of all targets.
 
 Defined results: rows with a null object_id, dataset or category are not candidates; an object counts once
 per dataset; a null share or minimum counts as 0; targets with a null dataset or category match nothing and
-are reported as unmet if they ask for any row; empty tables give an empty sample and unmet targets. The draw
-depends on the seed and the object ids only.
+are reported as unmet if they ask for any row; targets without a plan_id are a plan of their own; of a target that
+stands twice the shares are added and the larger minimum holds; empty tables give an empty sample and unmet targets.
+The draw depends on the seed and the object ids only.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.runtime import materialize
@@ -30,6 +32,8 @@ BLOCK_ROWS = 50_000
 #: Target rows are configuration; more than this is an error, not a truncation.
 MOST_TARGETS = 100_000
 _EPS = 1e-9
+#: What the pivotal method takes for rounding errors of 0 and 1; a row's probability in a large category is far below _EPS.
+_SURE = 1e-13
 
 
 def candidates(motion_index: DataFrame, motion_entry: DataFrame) -> DataFrame:
@@ -90,10 +94,12 @@ def _tilted(moments: np.ndarray, features: np.ndarray, wanted: np.ndarray, round
     for _ in range(rounds):
         mass = n * np.exp(np.clip(x @ lam, -60, 30))
         slope = x.T @ mass - t
+        step = np.linalg.lstsq(x.T @ (x * mass[:, None]), slope, rcond=None)[0]
         if np.abs(slope).max() < 1e-9 * max(1.0, t.max()):
+            lam = lam - step  # squares what is left of the error, so that totals add up to whole rows
             break
-        step = np.linalg.lstsq(x.T @ (x * mass[:, None]), slope, rcond=None)[0]
-        scale, now = 1.0, dual(lam)
+        # near the end the gain of a step is less than the rounding error of the dual
+        scale, now = 1.0, dual(lam) + 1e-12 * float(mass.sum() + abs(lam @ t) + 1)
         while scale > 1e-8 and dual(lam - scale * step) > now:
             scale /= 2
         lam = lam - scale * step
@@ -116,7 +122,7 @@ def pivotal(p: np.ndarray, random: np.random.Generator) -> np.ndarray:
     draws = random.random(len(p))
     held = -1
     for k in range(len(p)):
-        if p[k] <= _EPS or p[k] >= 1 - _EPS:
+        if p[k] <= _SURE or p[k] >= 1 - _SURE:
             p[k] = round(p[k])
             continue
         if held < 0:
@@ -130,38 +136,58 @@ def pivotal(p: np.ndarray, random: np.random.Generator) -> np.ndarray:
             winner, loser = (held, k) if draws[k] < (1 - b) / (2 - a - b) else (k, held)
             p[winner], p[loser] = 1.0, a + b - 1
             winner = loser
-        held = winner if _EPS < p[winner] < 1 - _EPS else -1
+        held = winner if _SURE < p[winner] < 1 - _SURE else -1
         if held < 0:
             p[winner] = round(p[winner])
     return p
 
 
-def _probabilities(report: DataFrame) -> list[tuple[int, str, str, float]]:
+def _told(report: DataFrame) -> list[Row]:
     rows = report.limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} target rows")
+    return rows
+
+
+def _probabilities(rows: list[Row], floors: str) -> list[tuple[int | None, str, str, float]]:
+    """Inclusion probability of every pair of a plan; ``floors`` names the column of the rows a pair must have."""
+    plans: dict[int | None, dict[tuple[str, str], list]] = {}
+    size: dict[int | None, int] = {}
+    for r in rows:
+        size[r.plan_id] = max(size.get(r.plan_id, 0), r.sample_size or 0)
+        if r.dataset is not None and r.action_category is not None:
+            own = plans.setdefault(r.plan_id, {}).setdefault((r.dataset, r.action_category), [0.0, 0, r.available])
+            own[0], own[1] = own[0] + max(r.target_share, 0.0), max(own[1], r[floors])
     out = []
-    for plan in sorted({r.plan_id for r in rows if r.plan_id is not None}):
-        own = sorted((r for r in rows if r.plan_id == plan and r.dataset and r.action_category), key=lambda r: (r.dataset, r.action_category))
-        n = np.array([r.available for r in own], float)
-        totals = bounded_totals(np.array([r.target_share for r in own]), np.array([r.min_rows for r in own], float), n, max([r.sample_size or 0 for r in own], default=0))
-        out += [(plan, r.dataset, r.action_category, float(p)) for r, p in zip(own, tilt(n, np.eye(len(own)), totals)) if p > 0]
+    for plan in sorted(plans, key=lambda p: (p is not None, p or 0)):
+        cells = sorted(plans[plan])
+        share, least, n = np.array([plans[plan][c] for c in cells], float).T
+        total = calibrated_totals(share, least, n, size[plan])
+        out += [(plan, d, c, float(min(1.0, t / k))) for (d, c), t, k in zip(cells, total, n) if t > 0]
     return out
 
 
-def bounded_tilt(moments: np.ndarray, features: np.ndarray, wanted: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+def calibrated_totals(share: np.ndarray, least: np.ndarray, most: np.ndarray, size: float) -> np.ndarray:
+    """Totals that tilt the shares by one factor, within floors and ceilings, to add up to the size if they can."""
+    floor = np.minimum(least, most)
+    size = float(np.clip(size, floor.sum(), np.where(share > 0, most, floor).sum()))
+    return bounded_tilt(most, np.ones((len(share), 1)), np.array([size]), least, share * size)
+
+
+def bounded_tilt(moments: np.ndarray, features: np.ndarray, wanted: np.ndarray, least: np.ndarray | None = None, mass: np.ndarray | None = None) -> np.ndarray:
     """Totals of cells whose feature sums are ``wanted``, as near to it as floors and available rows allow.
 
-    Cells that leave their bounds are fixed at them, and the dual of the remaining cells is solved again.
+    Cells that leave their bounds are fixed at them, and the dual of the remaining cells is solved again. ``mass`` is what
+    is tilted, by default all available rows.
     """
+    mass = moments if mass is None else mass
     floor = np.zeros(len(moments)) if least is None else np.minimum(least, moments)
     total, free = floor.copy(), moments > 0
     for _ in range(len(moments) + 1):
         if not free.any():
             break
         rest = np.maximum(wanted - features[~free].T @ total[~free], 0.0)
-        p = _tilted(moments[free], features[free], rest)
-        trial = moments[free] * p
+        trial = mass[free] * _tilted(mass[free], features[free], rest)
         at = np.flatnonzero(free)
         low, high = trial < floor[at] - _EPS, trial > moments[at] + _EPS
         total[at] = np.clip(trial, floor[at], moments[at])
@@ -186,7 +212,7 @@ _ROW = "plan_id int, dataset string, action_category string, object_id string, p
 def calibrated_sample(available: DataFrame, targets: DataFrame, *, seed: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(plan_id, dataset, action_category, object_id)`` of the drawn rows."""
     available = materialize(available, "p2-candidates")
-    return _draw(available, _probabilities(target_report(available, targets)), seed, block_rows)
+    return _draw(available, _probabilities(_told(target_report(available, targets)), "min_rows"), seed, block_rows)
 
 
 def margin_sample(available: DataFrame, targets: DataFrame, *, seed: int = 2, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -234,7 +260,9 @@ def _draw(available: DataFrame, probabilities: list[tuple[int, str, str, float]]
             pdf = pdf.assign(h=order).sort_values(["h", "dataset", "action_category", "object_id"], ignore_index=True)
             mark = pd.util.hash_array(np.array(["\x1f".join(map(str, key))], object))[0]
             p = pivotal(pdf["p"].to_numpy(float), np.random.default_rng([seed, level, int(mark)]))
-            return pdf.assign(p=p)[p > _EPS][["plan_id", "dataset", "action_category", "object_id", "p", "block"]]
+            if level == 2:  # the whole rows of a category stay whole, whatever the rounding errors of its blocks
+                p = np.where(np.abs(p - np.rint(p)) < 1e-6, np.rint(p), p)
+            return pdf.assign(p=p)[p > _SURE][["plan_id", "dataset", "action_category", "object_id", "p", "block"]]
 
         return run
 
@@ -246,19 +274,28 @@ def _draw(available: DataFrame, probabilities: list[tuple[int, str, str, float]]
     return drawn.select(*cell, "object_id")
 
 
-def sample_report(available: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """The target report with the rows drawn, their share in the plan, and the gap to the request."""
+def sample_report(available: DataFrame, targets: DataFrame, *, seed: int = 2, block_rows: int = BLOCK_ROWS, floors: str = "min_rows") -> DataFrame:
+    """The target report with the rows drawn, their share in the plan, and the gap to the request.
+
+    ``floors``: "min_rows" for the sample of ``calibrated_sample``, "requested" for one that has every requested row there is.
+    """
     available = materialize(available, "p2-candidates")
-    drawn = materialize(calibrated_sample(available, targets, **options), "p2-drawn")
-    cell = ["plan_id", "dataset", "action_category"]
-    counts = drawn.groupBy(*cell).agg(F.count("*").alias("sampled"))
-    totals = drawn.groupBy("plan_id").agg(F.count("*").alias("plan_rows"))
+    report = target_report(available, targets)
+    told = _told(report)
+    drawn = materialize(_draw(available, _probabilities(told, floors), seed, block_rows), "p2-drawn")
+    counts = drawn.groupBy(F.col("plan_id").alias("p"), F.col("dataset").alias("d"), F.col("action_category").alias("c")).agg(F.count("*").alias("sampled"))
+    totals = drawn.groupBy(F.col("plan_id").alias("q")).agg(F.count("*").alias("plan_rows"))
     return (
-        target_report(available, targets)
-        .join(counts, cell, "left")
-        .join(totals, "plan_id", "left")
+        available.sparkSession.createDataFrame(told, report.schema)
+        .join(counts, F.col("plan_id").eqNullSafe(F.col("p")) & (F.col("dataset") == F.col("d")) & (F.col("action_category") == F.col("c")), "left")
+        .join(totals, F.col("plan_id").eqNullSafe(F.col("q")), "left")
         .withColumn("sampled", F.coalesce("sampled", F.lit(0)))
         .withColumn("sampled_share", F.round(F.col("sampled") / F.col("plan_rows"), 6))
         .withColumn("gap", F.greatest(F.lit(0), F.col("requested") - F.col("sampled")))
-        .drop("plan_rows")
+        .drop("plan_rows", "p", "d", "c", "q")
     )
+
+
+def unmet_targets(available: DataFrame, targets: DataFrame, **options) -> DataFrame:
+    """Target rows that can't be met: a sample with all requested rows there are leaves them short."""
+    return sample_report(available, targets, floors="requested", **options).where("sampled < requested")
