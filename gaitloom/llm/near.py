@@ -4,7 +4,7 @@ Method. Word shingles of a record (by default single words, as the problem fixes
 frequencies are counted over all records into a fixed number of hash buckets. Improved consistent weighted sampling
 draws ``bands * rows`` samples of each weighted set; the sampled word and its quantised weight, two integers, are the
 signature. Signatures are banded, records that share a band are candidates, and every candidate pair is verified by its
-weighted Jaccard similarity or, for the set form, by the share of its words. Equal bags (equal word sets in the set form)
+weighted Jaccard similarity, with exact document frequencies, or, for the set form, by the share of its words. Equal bags (equal word sets in the set form)
 are one class throughout: a class is one row in every band however many records it has, groups are formed of classes, and
 classes are expanded to records only where pairs of records are the result that is asked for.
 
@@ -38,6 +38,8 @@ from .copies import fingerprint, learned_names, record_content
 BANDS, ROWS = 28, 6
 #: Hash buckets of the document frequencies; bounds what is collected and broadcast (4 bytes each).
 DF_BITS = 20
+#: Places of the bitmap that finds the words to be counted exactly; bounds what is collected and broadcast (2 MB).
+SIEVE_BITS = 24
 #: Words whose hash a worker remembers (bounds its memory, not its results).
 REMEMBERED = 500_000
 #: (word, count) pairs whose samples a worker holds at once; a batch with more is worked in parts, with the same result.
@@ -160,42 +162,66 @@ def word_weights(words: np.ndarray, times: np.ndarray, n: int, df: np.ndarray) -
 def _uniform(key: np.ndarray) -> np.ndarray:
     """Uniform numbers in (0, 1] from 64-bit keys (splitmix64)."""
     z = key + np.uint64(0x9E3779B97F4A7C15)
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((z >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+    y = z >> np.uint64(30)
+    z ^= y
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    np.right_shift(z, np.uint64(27), out=y)
+    z ^= y
+    z *= np.uint64(0x94D049BB133111EB)
+    z >>= np.uint64(40)
+    u = z.astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2**-24)
+    return u
 
 
 def weighted_samples(words: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Improved consistent weighted sampling: hashed value (its logarithm) and quantised weight of each word for k samples."""
     base = (words.view(np.uint32).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[:, None] + (np.arange(k, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))[None, :]
     draw = [_uniform(base ^ np.uint64(salt * 0x8BB84B93962EACC9 & (2**64 - 1))) for salt in range(1, 6)]
-    r = -np.log(draw[0] * draw[1])
-    c = -np.log(draw[2] * draw[3])
-    t = np.floor(np.log(weights).astype(np.float32)[:, None] / r + draw[4])
-    return np.log(c) - r * (t - draw[4] + np.float32(1)), t.astype(np.int32)
+    r, c, shift = draw[0], draw[2], draw[4]
+    for x, y in ((r, draw[1]), (c, draw[3])):
+        x *= y
+        np.negative(np.log(x, out=x), out=x)
+    t = np.log(weights).astype(np.float32)[:, None] / r
+    t += shift
+    np.floor(t, out=t)
+    value = np.subtract(t, shift, out=shift)
+    value += np.float32(1)
+    value *= r
+    return np.subtract(np.log(c, out=c), value, out=value), t.astype(np.int32)
 
 
 def _drawn(pair: np.ndarray, n: int, df: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered value with the place of its pair in the low half, and signature, of k samples of each (word, count) pair."""
+    """Ordered value with the place of its pair in the low half, and quantised weight, of k samples of each (word, count) pair."""
     own = (pair >> 32).astype(np.int32)
     # value and place of a word in one integer, so that the least of them names the word
     least_of = np.empty((len(pair), k), np.int64)
-    sign = np.empty((len(pair), k), np.uint32)
+    quantised = np.empty((len(pair), k), np.int32)
     weights = word_weights(own, pair & 0xFFFFFFFF, n, df)
     for a in range(0, len(pair), AT_A_TIME):
         some = own[a : a + AT_A_TIME]
-        value, t = weighted_samples(some, weights[a : a + AT_A_TIME], k)
-        order = np.ascontiguousarray(value).view(np.int32)
+        value, quantised[a : a + AT_A_TIME] = weighted_samples(some, weights[a : a + AT_A_TIME], k)
+        order = value.view(np.int32)
         order ^= (order >> 31) & np.int32(0x7FFFFFFF)
-        least_of[a : a + AT_A_TIME] = (order.astype(np.int64) << 32) | np.arange(a, a + len(some))[:, None]
-        sign[a : a + AT_A_TIME] = some.view(np.uint32)[:, None] * np.uint32(0x9E3779B1) ^ (t.view(np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-    return least_of, sign
+        at = least_of[a : a + AT_A_TIME]
+        at[:] = order
+        at <<= 32
+        at |= np.arange(a, a + len(some))[:, None]
+    return least_of, quantised
+
+
+def _signed(pair: np.ndarray, quantised: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Signatures of the samples that the pairs at these places have won: word and quantised weight."""
+    word = (pair >> 32).astype(np.int32).view(np.uint32)[place]
+    t = quantised[place, np.arange(quantised.shape[1])].view(np.uint32)
+    return word * np.uint32(0x9E3779B1) ^ (t + np.uint32(1)) * np.uint32(0x85EBCA6B)
 
 
 def signatures(words: np.ndarray, times: np.ndarray, offsets: np.ndarray, n: int, df: np.ndarray, k: int, most: int = PAIRS_AT_ONCE) -> np.ndarray:
     """Signatures (records x k) of the least samples of a batch of bags, ``most`` pairs at once."""
     pair, inverse = np.unique((words.astype(np.int64) << 32) | times.astype(np.int64), return_inverse=True)
-    every, records = np.arange(k), len(offsets) - 1
+    records = len(offsets) - 1
     if len(pair) > most and records > 1:
         m = min(max(int(np.searchsorted(offsets, offsets[-1] // 2)), 1), records - 1)
         at = offsets[m]
@@ -203,18 +229,18 @@ def signatures(words: np.ndarray, times: np.ndarray, offsets: np.ndarray, n: int
     if len(pair) > most:  # one long record: the least of its parts, the earlier one of equals as within a part
         least, best = np.full(k, np.iinfo(np.int64).max), np.empty(k, np.uint32)
         for a in range(0, len(pair), most):
-            least_of, sign = _drawn(pair[a : a + most], n, df, k)
+            least_of, quantised = _drawn(pair[a : a + most], n, df, k)
             low = least_of.min(0)
             less = low >> 32 < least
-            least[less], best[less] = (low >> 32)[less], sign[low & 0xFFFFFFFF, every][less]
+            least[less], best[less] = (low >> 32)[less], _signed(pair[a : a + most], quantised, low & 0xFFFFFFFF)[less]
         return best[None, :]
-    least_of, sign = _drawn(pair, n, df, k)
+    least_of, quantised = _drawn(pair, n, df, k)
     out = np.empty((records, k), np.uint32)
     for a in range(0, records, 64):
         b = min(a + 64, records)
         part = inverse[offsets[a] : offsets[b]]
         place = np.minimum.reduceat(least_of[part], offsets[a:b] - offsets[a], axis=0) & 0xFFFFFFFF
-        out[a:b] = sign[place, every]
+        out[a:b] = _signed(pair, quantised, place)
     return out
 
 
@@ -254,45 +280,109 @@ def candidate_classes(bag: DataFrame, n: int, df: np.ndarray, *, least_ratio: fl
     return a.join(b, fits).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
 
 
-def similarities(wa: pa.Array, ta: pa.Array, wb: pa.Array, tb: pa.Array, n: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Set and weighted Jaccard similarity of aligned pairs of bags."""
+def _overlap(wa: pa.Array, xa: np.ndarray, wb: pa.Array, xb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Common words, words of both sides, common weight and weight of both sides of aligned pairs of bags."""
     (w1, o1), (w2, o2) = _lists(wa), _lists(wb)
-    (t1, _), (t2, _) = _lists(ta), _lists(tb)
     rows = len(o1) - 1
     pair = np.concatenate([np.repeat(np.arange(rows), np.diff(o1)), np.repeat(np.arange(rows), np.diff(o2))])
     key = (pair << 32) | np.concatenate([w1, w2]).view(np.uint32).astype(np.int64)
-    weight = np.concatenate([word_weights(w1, t1, n, df), word_weights(w2, t2, n, df)])
+    weight = np.concatenate([xa, xb])
     order = np.argsort(key, kind="stable")
     key, weight, pair = key[order], weight[order], pair[order]
     twice = np.flatnonzero(key[1:] == key[:-1])
     both = np.bincount(pair[twice], minlength=rows)
     low = np.bincount(pair[twice], np.minimum(weight[twice], weight[twice + 1]), minlength=rows)
-    every = np.bincount(pair, minlength=rows)
-    mass = np.bincount(pair, weight, minlength=rows)
+    return both, np.bincount(pair, minlength=rows), low, np.bincount(pair, weight, minlength=rows)
+
+
+def similarities(wa: pa.Array, ta: pa.Array, wb: pa.Array, tb: pa.Array, n: int, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set and weighted Jaccard similarity of aligned pairs of bags."""
+    both, every, low, mass = _overlap(wa, word_weights(_lists(wa)[0], _lists(ta)[0], n, df), wb, word_weights(_lists(wb)[0], _lists(tb)[0], n, df))
     return both / np.maximum(every - both, 1), low / np.maximum(mass - low, 1e-30)
 
 
+def word_counts(bag: DataFrame, words: DataFrame) -> DataFrame:
+    """``(word, n)``: the exact number of records that hold each of the distinct ``words``."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        there = np.zeros(1 << SIEVE_BITS, bool)
+        for batch in batches:
+            there[_bucket(batch.column(0).to_numpy(), SIEVE_BITS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(there).astype(np.int32))], names=["place"])
+
+    sieve = np.zeros(1 << SIEVE_BITS, bool)
+    sieve[words.mapInArrow(places, "place int").distinct().toArrow().column("place").to_numpy()] = True
+    shared = bag.sparkSession.sparkContext.broadcast(np.packbits(sieve))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            flat, _ = _lists(batch.column(0))
+            word, n = np.unique(flat[wanted[_bucket(flat, SIEVE_BITS)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    # the sieve lets some others through, which nothing is joined to
+    return bag.select("words").mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def heavy_classes(content: DataFrame, bag: DataFrame, pairs: DataFrame, n: int, df: np.ndarray, *, threshold: float) -> DataFrame:
+    """``(class_a, class_b, similarity)`` of the candidates that reach a weighted similarity by exact document frequencies.
+
+    A bucket has at least the records of each of its words, so bucketed counts bound the weights from below; a shared word
+    stands in two records at least, which bounds its weight from above. Pairs that can't reach the threshold within these
+    bounds are dropped, and the words of the rest are counted exactly.
+    """
+    shared = content.sparkSession.sparkContext.broadcast(df)
+    most = float(np.sqrt(np.log1p(n / 2)))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wa, ta, wb, tb = (batch.column(k) for k in range(2, 6))
+            t1, t2 = _lists(ta)[0], _lists(tb)[0]
+            _, _, low, mass = _overlap(wa, word_weights(_lists(wa)[0], t1, n, shared.value), wb, word_weights(_lists(wb)[0], t2, n, shared.value))
+            common = most * _overlap(wa, t1, wb, t2)[2]
+            keep = pa.array(np.flatnonzero(common >= (threshold - 1e-6) * (common + mass - 2 * low)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["class_a", "class_b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wa, xa, wb, xb = (batch.column(k) for k in range(2, 6))
+            _, _, low, mass = _overlap(wa, _lists(xa)[0], wb, _lists(xb)[0])
+            s = low / np.maximum(mass - low, 1e-30)
+            keep = pa.array(np.flatnonzero(s >= threshold - 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(s).take(keep)], names=["class_a", "class_b", "similarity"])
+
+    left = materialize(_sides(pairs, content, "times").mapInArrow(possible, "class_a bigint, class_b bigint"), "p3-possible")
+    needed = left.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    told = materialize(content.join(needed, "class", "left_semi").select("class", F.explode(F.arrays_zip("words", "times")).alias("x")).select("class", F.col("x.words").alias("word"), F.col("x.times").alias("times")), "p3-told")
+    weight = F.col("times") * F.sqrt(F.log1p(F.lit(n) / F.col("n")))
+    weighed = told.join(word_counts(bag, told.select("word").distinct()), "word").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("word", weight.alias("weight")))).alias("x"))
+    exact = materialize(weighed.select("class", F.col("x.word").alias("words"), F.col("x.weight").alias("weights")), "p3-weighed")
+    return _sides(left, exact, "weights").mapInArrow(run, "class_a bigint, class_b bigint, similarity double")
+
+
+def _sides(pairs: DataFrame, content: DataFrame, second: str) -> DataFrame:
+    """Pairs of classes with the words and the ``second`` list of both."""
+    side = lambda x: content.select(F.col("class").alias(f"class_{x}"), F.col("words").alias(f"w{x}"), F.col(second).alias(f"t{x}"))
+    return pairs.join(side("a"), "class_a").join(side("b"), "class_b").select("class_a", "class_b", "wa", "ta", "wb", "tb")
+
+
 def similar_classes(bag: DataFrame, pairs: DataFrame, n: int, df: np.ndarray, *, threshold: float, measure: str) -> DataFrame:
     """``(class_a, class_b, similarity)`` of the candidate pairs that reach the threshold."""
+    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    # one row a class first, combined on the map side: a class that a third of all records are in never meets in one task
+    content = bag.select("class", "words", "times").dropDuplicates(["class"]).join(needed, "class", "left_semi")
+    if measure == "weighted":
+        return heavy_classes(materialize(content, "p3-content"), bag, pairs, n, df, threshold=threshold)
     shared = bag.sparkSession.sparkContext.broadcast(df)
-    weighted = measure == "weighted"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_set, by_weight = similarities(*(batch.column(k) for k in range(2, 6)), n, shared.value)
-            s = by_weight if weighted else by_set
+            s = similarities(*(batch.column(k) for k in range(2, 6)), n, shared.value)[0]
             keep = np.flatnonzero(s >= threshold - 1e-12)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(s[keep])], names=["class_a", "class_b", "similarity"])
 
-    needed = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
-    # one row a class first, combined on the map side: a class that a third of all records are in never meets in one task
-    content = bag.select("class", "words", "times").dropDuplicates(["class"]).join(needed, "class", "left_semi")
-    both = (
-        pairs.join(content.select(F.col("class").alias("class_a"), F.col("words").alias("wa"), F.col("times").alias("ta")), "class_a")
-        .join(content.select(F.col("class").alias("class_b"), F.col("words").alias("wb"), F.col("times").alias("tb")), "class_b")
-        .select("class_a", "class_b", "wa", "ta", "wb", "tb")
-    )
-    return both.mapInArrow(run, "class_a bigint, class_b bigint, similarity double")
+    return _sides(pairs, content, "times").mapInArrow(run, "class_a bigint, class_b bigint, similarity double")
 
 
 def _similar(records: DataFrame, threshold: float, measure: str, min_words: int, n: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame, DataFrame]:

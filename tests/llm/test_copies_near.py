@@ -1,5 +1,6 @@
 """Problems 1 and 3: copies, near-duplicates; against brute force on small fixtures."""
 
+import math
 import random
 import re
 from itertools import combinations
@@ -188,6 +189,21 @@ def test_weighted_form_names_every_pair_of_records(spark, tmp_path):
     assert got[1, 2] == got[2, 3] == 1 and 0.8 <= got[1, 4] == got[2, 4] == got[3, 4] < 1 and 0.8 <= got[5, 6] < 1
 
 
+def test_weights_follow_from_exact_counts(spark, monkeypatch):
+    # two buckets for all words: bucketed counts tell rare and common words apart no more
+    monkeypatch.setattr(near.document_frequencies, "__defaults__", (1,))
+    common = [f"c{k}" for k in range(30)]
+    rows = [(k, [" ".join([*common, *(f"own{k}x{j}" for j in range(9))])], f"d{k}") for k in range(60)]
+    rows += [(100, [" ".join(f"w{k}" for k in range(50))], "d"), (101, [" ".join([*(f"w{k}" for k in range(45)), *common[:5]])], "d")]
+    words = {r[0]: set(r[1][0].split()) for r in rows}
+    weight = {w: math.log1p(len(rows) / sum(w in x for x in words.values())) ** 0.5 for w in set().union(*words.values())}
+    mass = lambda x: sum(map(weight.get, x))
+    truth = {(a, b): mass(words[a] & words[b]) / mass(words[a] | words[b]) for a, b in combinations(words, 2)}
+    got = {(r.record_a, r.record_b): r.similarity for r in near.scored_duplicates(table(spark, rows), threshold=0.6, measure="weighted", bands=60, rows=2).collect()}
+    assert set(got) == {p for p, s in truth.items() if s >= 0.6} == {(100, 101)}
+    assert got[100, 101] == pytest.approx(truth[100, 101], abs=1e-9)
+
+
 def test_samples_of_many_pairs_are_drawn_in_parts():
     rng = np.random.default_rng(4)
     sizes = [3, 1, 700, 40, 40, 1, 90]
